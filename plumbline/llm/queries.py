@@ -1,8 +1,10 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 
+from .bpe import op7_bpe
 from .token_files import op8_token_files
 
 QUERIES = {
+    "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
 }
 
