@@ -1,11 +1,13 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 
+from . import secrets
 from .bpe import op7_bpe
 from .token_files import op8_token_files
 
 QUERIES = {
+    "op2_secrets": secrets.op2_secrets,
     "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.SQL}
