@@ -2,12 +2,14 @@
 
 from . import secrets
 from .bpe import op7_bpe
+from .quality import op10_quality
 from .token_files import op8_token_files
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
     "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.SQL}
