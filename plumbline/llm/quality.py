@@ -12,7 +12,7 @@ weight; the others' weights are zero and are not stored.
 Fitting takes at most ``sample_rows`` labelled rows (those with the least hash of
 their id), a documented bound; scoring reads every row and whole texts.  Nulls: a
 null text scores as the empty one; a row with a null label or id is not fitted.
-Without rows to fit, or with one grade only, every text gets the prior grade.
+With one grade only, every text gets the prior grade; without rows to fit, the best.
 Repeated rows are scored each; of several labels of one id the lowest grade counts.
 Empty tables give no rows.  Columns are read by name, and results have names of
 their own, which the input must not use.
@@ -146,7 +146,7 @@ def fit_arrays(rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, grades:
     total = np.cumsum((shares + 0.5) / (shares.sum() + 0.5 * GRADES))[:-1]
     theta = np.log(total / (1 - total))
     if (shares > 0).sum() < 2:
-        return Model(np.zeros(0, np.uint32), np.zeros(DENSE), theta)
+        return Model(np.zeros(0, np.uint32), np.zeros(DENSE), theta if len(grades) else np.array([-40.0, -39.0]))
     own = select(rows, hashes, grades, least_z, MOST_FEATURES)
     at = np.minimum(np.searchsorted(own, hashes), max(len(own) - 1, 0))
     hit = own[at] == hashes if len(own) else np.zeros(len(hashes), bool)

@@ -4,9 +4,11 @@ from . import secrets
 from .bpe import op7_bpe
 from .quality import op10_quality
 from .token_files import op8_token_files
+from .weighted_prints import op5_weighted_prints
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
+    "op5_weighted_prints": op5_weighted_prints,
     "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
     "op10_quality": op10_quality,
