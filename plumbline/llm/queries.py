@@ -2,6 +2,7 @@
 
 from . import secrets
 from .bpe import op7_bpe
+from .ngram_join import op9_ngram_join
 from .quality import op10_quality
 from .token_files import op8_token_files
 from .weighted_prints import op5_weighted_prints
@@ -11,6 +12,7 @@ QUERIES = {
     "op5_weighted_prints": op5_weighted_prints,
     "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
+    "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
 }
 
