@@ -2,12 +2,14 @@
 
 from . import secrets
 from .bpe import op7_bpe
+from .lines import op1_lines
 from .ngram_join import op9_ngram_join
 from .quality import op10_quality
 from .token_files import op8_token_files
 from .weighted_prints import op5_weighted_prints
 
 QUERIES = {
+    "op1_lines": op1_lines,
     "op2_secrets": secrets.op2_secrets,
     "op5_weighted_prints": op5_weighted_prints,
     "op7_bpe": op7_bpe,
