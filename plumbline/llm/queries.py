@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 
-from . import secrets
+from . import cover_tree, secrets
 from .bpe import op7_bpe
 from .lines import op1_lines
 from .ngram_join import op9_ngram_join
@@ -11,6 +11,7 @@ from .weighted_prints import op5_weighted_prints
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_secrets": secrets.op2_secrets,
+    "op4_cover_tree": cover_tree.op4_cover_tree,
     "op5_weighted_prints": op5_weighted_prints,
     "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
@@ -18,4 +19,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.SQL, "op4_cover_tree": cover_tree.SQL}
