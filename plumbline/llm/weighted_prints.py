@@ -27,44 +27,53 @@ SAMPLES = 32
 MOST_BUCKETS = 16_384
 
 
+def _part(h: Column, at: int, bits: int) -> Column:
+    """``bits`` bits of a hash as a number between 0 and 1."""
+    return (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)) + 0.5) / float(1 << bits)
+
+
 def sample(word: Column, weight_log: Column, k: int) -> Column:
     """One word's value (high 31 bits and sign) and the hash of (word, t) (low 32 bits), for sample ``k``."""
     a, b = F.xxhash64(word, F.lit(2 * k)), F.xxhash64(word, F.lit(2 * k + 1))
-    part = lambda h, at, bits: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)) + 0.5) / float(1 << bits)
-    r = -F.ln(part(a, 0, 21) * part(a, 21, 21))
-    beta = part(a, 42, 22)
-    c = F.ln(-F.ln(part(b, 0, 32) * part(b, 32, 32)))
-    t = F.floor(weight_log / r + beta)
-    value = F.floor((c - r * (t - beta + 1)) * float(1 << 20))
+    r = -F.ln(_part(a, 0, 21) * _part(a, 21, 21))
+    c = F.ln(-F.ln(_part(b, 0, 32) * _part(b, 32, 32)))
+    t = F.floor(weight_log / r + _part(a, 42, 22))
+    value = F.floor((c - r * (t - _part(a, 42, 22) + 1)) * float(1 << 20))
     return F.shiftleft(value, 32).bitwiseOR(a.bitwiseXOR(F.shiftleft(t, 7)).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def words(text: Column) -> Column:
-    return F.split(F.translate(text, "\n\t\r\f\x0b", "     "), " ")
+def blanks(text: Column) -> Column:
+    """The text with every kind of ASCII white space turned into blanks."""
+    return F.translate(text, "\n\t\r\f\x0b", "     ")
 
 
-def fingerprints(df: DataFrame, key: list[str], text_arrays: Column, samples: int = SAMPLES) -> DataFrame:
-    """``key``, variant (place in ``text_arrays``), print: for every row and text.
+def fingerprints(df: DataFrame, key: list[str], segments: list[tuple[Column, tuple[int, ...]]], samples: int = SAMPLES) -> DataFrame:
+    """``key`` and print0, print1 ...: fingerprints of several texts for each row.
 
-    If ``df`` is partitioned by some of ``key``, nothing more is shuffled.
+    A segment is an array of words and the numbers of the texts that it is part of,
+    so what texts share is hashed once.  If ``df`` is partitioned by some of
+    ``key``, nothing is shuffled.
     """
-    rows = df.select(*key, F.posexplode(text_arrays).alias("variant", "_words"))
+    texts = sorted({t for _, of in segments for t in of})
     # The empty word stands for a text without words; it has no value.
-    terms = rows.select(*key, "variant", F.explode(F.concat("_words", F.array(F.lit("")))).alias("_w"))
-    terms = terms.select(*key, "variant", F.when(F.col("_w") != "", F.xxhash64("_w")).alias("_h")).groupBy(*key, "variant", "_h").agg(F.count("*").alias("_n"))
-    terms = terms.select(*key, "variant", "_h", F.when(F.col("_h").isNotNull(), F.ln("_n")).alias("_l"))
-    least = terms.groupBy(*key, "variant").agg(*(F.min(sample(F.col("_h"), F.col("_l"), k)).alias(f"_s{k}") for k in range(samples)))
-    digits = F.concat(*(F.lpad(F.hex(F.col(f"_s{k}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for k in range(samples)))
-    return least.select(*key, "variant", F.coalesce(F.lower(digits), F.lit("")).alias("print"))
+    rows = df.select(*key, F.posexplode(F.array(*(F.concat(w, F.array(F.lit(""))) for w, _ in segments))).alias("_seg", "_words"))
+    terms = rows.select(*key, "_seg", F.explode("_words").alias("_w")).select(*key, "_seg", F.when(F.col("_w") != "", F.xxhash64("_w")).alias("_h"))
+    inside = lambda t: F.col("_seg").isin([i for i, (_, of) in enumerate(segments) if t in of])
+    terms = terms.groupBy(*key, "_h").agg(*(F.sum(F.when(inside(t), 1).otherwise(0)).alias(f"_n{t}") for t in texts))
+    logs = (F.when(F.col("_h").isNotNull() & (F.col(f"_n{t}") > 0), F.ln(f"_n{t}")).alias(f"_l{t}") for t in texts)
+    least = terms.select(*key, "_h", *logs).groupBy(*key).agg(*(F.min(sample(F.col("_h"), F.col(f"_l{t}"), k)).alias(f"_s{t}_{k}") for k in range(samples) for t in texts))
+
+    def digits(t: int) -> Column:
+        return F.coalesce(F.lower(F.concat(*(F.lpad(F.hex(F.col(f"_s{t}_{k}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for k in range(samples)))), F.lit(""))
+
+    return least.select(*key, *(digits(t).alias(f"print{t}") for t in texts))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     """Share of equal samples of two fingerprints."""
-    same = lambda k: F.when(F.substring(a, 8 * k + 1, 8) == F.substring(b, 8 * k + 1, 8), 1).otherwise(0)
-    total = same(0)
-    for k in range(1, samples):
-        total = total + same(k)
-    return F.when((a == "") | (b == ""), F.when(a == b, 1.0).otherwise(0.0)).otherwise(total / float(samples))
+    place = F.sequence(F.lit(0), F.lit(samples - 1))
+    same = F.size(F.filter(place, lambda k: F.substring(a, k * 8 + 1, F.lit(8)) == F.substring(b, k * 8 + 1, F.lit(8))))
+    return F.when((a == "") | (b == ""), F.when(a == b, 1.0).otherwise(0.0)).otherwise(same / float(samples))
 
 
 def in_buckets(df: DataFrame, id_column: str) -> DataFrame:
@@ -79,38 +88,50 @@ def in_buckets(df: DataFrame, id_column: str) -> DataFrame:
     return df.withColumn("_key", key).withColumn("_bucket", F.coalesce(at.cast("long"), F.lit(-1).cast("long")))
 
 
-def with_next(df: DataFrame, order: list[Column], value: str, into: str) -> DataFrame:
-    """Add ``into``: ``value`` of the next row by falling _bucket, then ``order``; after the last row comes the first.
+def ring(df: DataFrame) -> DataFrame:
+    """_bucket, _top (its greatest _key) and _before: the bucket whose last row the top row follows.
+
+    ``df`` has _bucket and _key; the result has MOST_BUCKETS + 1 rows of three numbers at most.
+    """
+    tops = df.select("_bucket", "_key").groupBy("_bucket").agg(F.max("_key").alias("_top"))
+    down = Window.orderBy(F.desc("_bucket"))
+    last = F.last("_bucket").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return tops.select("_bucket", "_top", F.coalesce(F.lag("_bucket").over(down), last).alias("_before"))
+
+
+def with_next(df: DataFrame, tops: DataFrame, value: str, into: str, order: list[Column]) -> DataFrame:
+    """Add ``into``: ``value`` of the next row by falling _key, then ``order``; after the last row comes the first.
 
-    ``df`` has _bucket.  A bucket's last row takes the first row of the next bucket
-    that has any; the list of buckets is the only thing ordered as a whole.
+    ``df`` has _bucket, _key; ``tops`` is its ring().  The top rows of a bucket also go, as guests, behind the
+    rows of the bucket before it; so one shuffle by _bucket serves all.  The result
+    is partitioned by _bucket and has _rn, a row's number in its bucket.
     """
-    at = Window.partitionBy("_bucket").orderBy(*order)
-    rows = df.withColumn("_follows", F.lead(F.struct(value)).over(at)).withColumn("_first", F.row_number().over(at) == 1)
-    firsts = rows.filter("_first").select(F.col("_bucket").alias("_of"), F.col(value).alias("_head"))
-    buckets = df.select("_bucket").distinct()
-    whole = Window.orderBy(F.desc("_bucket"))
-    ring = buckets.select("_bucket", F.coalesce(F.lead("_bucket").over(whole), F.first("_bucket").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_of"))
-    heads = firsts.join(ring.withColumnRenamed("_bucket", "_for"), "_of").select(F.col("_for").alias("_bucket"), "_head")
-    return rows.join(heads.hint("shuffle_merge"), "_bucket", "left").withColumn(into, F.when(F.col("_follows").isNull(), F.col("_head")).otherwise(F.col(f"_follows.{value}"))).drop("_follows", "_first", "_head")
+    guest = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("g")), F.when(F.col("_key") == F.col("_top"), F.struct(F.col("_before").alias("b"), F.lit(True).alias("g"))))
+    dealt = df.join(F.broadcast(tops), "_bucket").withColumn("_to", F.explode(F.filter(guest, lambda x: x.isNotNull())))
+    dealt = dealt.withColumn("_bucket", F.col("_to.b")).withColumn("_guest", F.col("_to.g")).drop("_to", "_top", "_before")
+    at = Window.partitionBy("_bucket").orderBy("_guest", F.desc("_key"), *order)
+    return dealt.withColumn(into, F.lead(value).over(at)).withColumn("_rn", F.row_number().over(at)).filter("not _guest").drop("_guest")
 
 
 def op5_weighted_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = shared.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = in_buckets(documents, "doc_id")
-    order = [F.desc("_key"), F.col("text")]
-    docs = docs.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
-    pair = with_next(docs, order, "text", "_next")
+    tops = ring(docs)  # bounded, so it is broadcast
+    pair = with_next(docs, tops, "text", "_next", [F.col("text")])
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (size - half).cast("int")), F.substring("_next", F.lit(1), half))
-    pair = pair.withColumn("_edited", edited)
-    prints = fingerprints(pair, ["_bucket", "_rn"], F.array(words(F.col("text")), words(F.col("_edited"))))
-    own = lambda v: F.max(F.when(F.col("variant") == v, F.col("print")))
-    prints = prints.groupBy("_bucket", "_rn").agg(own(0).alias("fingerprint"), own(1).alias("edited_fingerprint"))
-    prints = with_next(prints, [F.col("_rn")], "fingerprint", "_next_print")
-    about = pair.select("_bucket", "_rn", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"))
-    return about.join(prints, ["_bucket", "_rn"]).select(
+    # Both texts begin alike; the last word before the cut may go on in either.
+    kept = F.substring("text", F.lit(1), (size - half).cast("int"))
+    pair = pair.withColumn("_kept", kept).withColumn("_new", F.substring("_next", F.lit(1), half)).withColumn("_old", F.substring("text", (size - half + 1).cast("int"), half))
+    open_word = F.substring_index(blanks(F.col("_kept")), " ", -1)
+    begin = F.substring("_kept", F.lit(1), F.char_length("_kept") - F.char_length(open_word))
+    words = lambda x: F.split(blanks(x), " ")
+    segments = [(words(begin), (0, 1)), (words(F.concat(open_word, "_old")), (0,)), (words(F.concat(open_word, "_new")), (1,))]
+    prints = fingerprints(pair, ["_bucket", "_rn", "_key", "doc_id"], segments)
+    about = pair.select("_bucket", "_rn", "_key", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.concat("_kept", "_new"), 256).alias("edited_sha256"))
+    both = about.join(prints.drop("_key", "doc_id"), ["_bucket", "_rn"]).withColumnRenamed("print0", "fingerprint").withColumnRenamed("print1", "edited_fingerprint")
+    out = with_next(both.withColumn("_place", F.col("_rn")).drop("_rn"), tops, "fingerprint", "_next_print", [F.col("_place")])
+    return out.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next_print")).alias("near_next"),
     )
