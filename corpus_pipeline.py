@@ -1,12 +1,30 @@
-"""Corpus pipeline: the stages run one after the other, each on what its predecessor wrote."""
+"""Corpus pipeline: quality, repeated lines, near copies, secrets, packing.
+
+Each stage takes what its predecessor wrote; all but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import shared
+from plumbline.llm import lines, ngram_join, packing, quality, secrets, shared
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text become their kinds in brackets."""
+    return secrets.mask(docs)
+
+
+STAGES = [
+    ("quality", quality.stage),
+    ("lines", lines.stage),
+    ("near_copies", ngram_join.stage),
+    ("secrets", mask_secrets),
+    ("packing", packing.stage),
+]
 
-STAGES: list = []
+#: The classifier and the packing order are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

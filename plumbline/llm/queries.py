@@ -4,6 +4,7 @@ from . import cover_tree, secrets
 from .bpe import op7_bpe
 from .lines import op1_lines
 from .ngram_join import op9_ngram_join
+from .packing import op3_packing
 from .pages import op6_pages
 from .quality import op10_quality
 from .token_files import op8_token_files
@@ -12,6 +13,7 @@ from .weighted_prints import op5_weighted_prints
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_secrets": secrets.op2_secrets,
+    "op3_packing": op3_packing,
     "op4_cover_tree": cover_tree.op4_cover_tree,
     "op5_weighted_prints": op5_weighted_prints,
     "op6_pages": op6_pages,
