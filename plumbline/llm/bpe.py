@@ -105,7 +105,7 @@ class PairIndexEncoder:
         at = np.flatnonzero(ranks < none)
         at = at[np.argsort(ranks[at].astype(np.uint16) if none < 1 << 16 else ranks[at], kind="stable")]
         active, first = np.unique(ranks[at], return_index=True)
-        index: dict[int, list[np.ndarray]] = {int(r): [p] for r, p in zip(active, np.split(at, first[1:]), strict=True)}
+        index: dict[int, list[np.ndarray]] = {int(r): [p] for r, p in zip(active, np.split(at, first[1:]), strict=True)} if len(active) else {}
         heap = active.tolist()
         odd: set[int] = set()
 
