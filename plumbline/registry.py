@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: list[str] = ["plans.schedules", "plans.discovery", "plans.takeoff", "plans.graph", "plans.transcripts"]
+_MODULES: list[str] = ["plans.schedules", "plans.discovery", "plans.takeoff", "plans.graph", "plans.transcripts", "plans.service"]
 
 
 def _loaded():
