@@ -252,3 +252,22 @@ def test_pages(spark):
     got = {r.page_id: r for r in pages.extract(df).collect()}
     assert got[1].text == "A&B\n\none\n\ntwo x y z" and got[2].text == got[3].text == "" and got[4].text == "plain text" and got[5].n_chars == 249_999
     assert all(got[10 + i].text == f"Story number {i} is told" for i in range(12)) and pages.extract(df.limit(0)).count() == 0
+
+
+def test_simhash(spark):
+    texts = ["a b c d", "x y", " ".join(f"w{k}" for k in range(700)), "the", "dog cat cow hen pig dog dog"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", lines.simhash("split(t, ' ')").alias("s"), F.expr("array_distinct(transform(split(t, ' '), w -> xxhash64(w, 5)))").alias("h")).withColumn("tie", F.expr("xxhash64(array_min(h))")).collect():
+        want = 0
+        for i in range(64):
+            n = 2 * sum(h >> i & 1 for h in r.h)
+            want |= (n > len(r.h) or n == len(r.h) and r.tie >> i & 1) << i
+        assert r.s & (1 << 64) - 1 == want
+
+
+def test_lines_buckets_cost_no_pairs_of_a_group(spark):
+    """Many near copies of one line, and many short lines, stay far from all pairs."""
+    rows = [(i, " ".join(f"word{k}" if k != i % 60 else f"x{i}" for k in range(60))) for i in range(200)] + [(1000 + i, f"the w{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = {r.doc_id: r.n_kept for r in lines.dedup(df).collect()}
+    assert sum(kept[i] for i in range(200)) <= 20 and all(kept[1000 + i] == 1 for i in range(300))
