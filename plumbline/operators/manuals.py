@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.text import dedouble, head, squeeze, strip
 
+# The grammar of division and section lines, with every kind of dash.
 DASH = "[-‒–—―−]"
 DIVISION = rf"^\s*DIVISION\s+(\d{{2}})\s*{DASH}\s*(.+?)\s*$"
 SECTION = rf"^\s*(?:SECTION\s+)?(\d{{2}}\s?\d{{2}}\s?\d{{2}}(?:\.\d{{2}})?)\s*{DASH}?\s*(.+?)\s*$"
@@ -51,19 +52,21 @@ def toc_pages(pages: DataFrame, by: list[str], page: str = "page_index", text: s
     return flagged.withColumn("_gap", gap).filter((F.col(page) >= F.col("_first")) & (F.col("_gap").isNull() | (F.col(page) < F.col("_gap")))).drop("_toc", "_first", "_gap")
 
 
-def is_noise(line: Column, firm: str = "SMITHGROUP") -> Column:
+def is_noise(line: Column, firm: str | None = None) -> Column:
+    """Blank lines, running heads (of ``firm``, if given), dates and footers."""
     s = strip(line)
     exact = ["BID SET", "TABLE OF CONTENTS", "END OF TABLE OF CONTENTS", "PROJECT MANUAL COVER"]
-    return (s == "") | F.startswith(s, F.lit(firm)) | s.isin(exact) | s.rlike(r"^\d{1,2}\s+[A-Za-z]+\s+\d{4}$") | s.rlike(r"^TABLE OF CONTENTS\s+TOC-\d+$")
+    of_firm = F.startswith(s, F.lit(firm)) if firm else F.lit(False)
+    return (s == "") | of_firm | s.isin(exact) | s.rlike(r"^\d{1,2}\s+[A-Za-z]+\s+\d{4}$") | s.rlike(r"^TABLE OF CONTENTS\s+TOC-\d+$")
 
 
-def toc(lines: DataFrame, by: list[str], order: list[str], line: str = "line") -> tuple[DataFrame, DataFrame]:
+def toc(lines: DataFrame, by: list[str], order: list[str], line: str = "line", firm: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(by, ord, division, title, applicable) and (by, ord, division, section, title) of a table of contents.
 
     The division carries down.  A line that is no header goes on the title before it, but for division 00;
     a title that ends in a hyphen takes it without a blank.
     """
-    rows = lines.filter(~is_noise(F.col(line)))
+    rows = lines.filter(~is_noise(F.col(line), firm))
     at = Window.partitionBy(*by).orderBy(*order)
     rows = rows.withColumn("ord", F.row_number().over(at)).withColumn("_div", _found(F.col(line), DIVISION)).withColumn("_na", F.upper(strip(F.col(line))) == "NOT APPLICABLE")
     run = Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -44,9 +44,9 @@ def test_bid_items(spark):
 
 
 def test_toc(spark):
-    text = ["SMITHGROUP", "DIVISION 00 - PROCUREMENT", "Form of bid", "DIVISION 04 - MASONRY", "NOT APPLICABLE", "DIVISION 08 – OPENINGS", "SECTION 081113 - HOLLOW METAL DOORS AND", "FRAMES", "08 14 16 FLUSH WOOD-", "DOORS", "1 May 2024"]
+    text = ["ACME 12", "DIVISION 00 - PROCUREMENT", "Form of bid", "DIVISION 04 - MASONRY", "NOT APPLICABLE", "DIVISION 08 – OPENINGS", "SECTION 081113 - HOLLOW METAL DOORS AND", "FRAMES", "08 14 16 FLUSH WOOD-", "DOORS", "1 May 2024"]
     df = spark.createDataFrame([("f", i, s) for i, s in enumerate(text)], "file string, n int, line string")
-    divisions, sections = M.toc(df, ["file"], ["n"])
+    divisions, sections = M.toc(df, ["file"], ["n"], firm="ACME")
     assert [(r.division, r.title, r.applicable) for r in divisions.orderBy("ord").collect()] == [("00", "PROCUREMENT", True), ("04", "MASONRY", False), ("08", "OPENINGS", True)]
     assert [(r.division, r.section, r.title) for r in sections.orderBy("ord").collect()] == [("08", "081113", "HOLLOW METAL DOORS AND FRAMES"), ("08", "081416", "FLUSH WOOD-DOORS")]
     pages = spark.createDataFrame([("f", 0, "x"), ("f", 1, "a\nDIVISION 01 - A"), ("f", 2, "END OF TABLE OF CONTENTS"), ("f", 3, "x"), ("f", 4, "DIVISION 02 - B"), ("g", 0, None)], "file string, page_index int, text string")
