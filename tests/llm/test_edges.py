@@ -271,3 +271,23 @@ def test_lines_buckets_cost_no_pairs_of_a_group(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     kept = {r.doc_id: r.n_kept for r in lines.dedup(df).collect()}
     assert sum(kept[i] for i in range(200)) <= 20 and all(kept[1000 + i] == 1 for i in range(300))
+
+
+def test_lines_recall(spark):
+    """Of the pairs within the edit distance that brute force finds, at least nine of ten are linked."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("eainthrsodlu"), rng.integers(2, 9))) for _ in range(800)]
+    texts = []
+    for i in range(120):
+        own = list(rng.choice(words, 12 + i % 40))
+        near = list(own)
+        for k in rng.choice(len(own), max(1, len(own) // 10), replace=False):
+            near[k] = rng.choice(words)
+        texts += [" ".join(own), " ".join(near)]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    form = df.select(F.xxhash64("text").alias("form"), "text")
+    most = "cast(floor(0.15D * greatest(length(a.text), length(b.text)) + 1e-9D) AS int)"
+    near = form.alias("a").join(form.alias("b"), F.expr(f"a.form < b.form AND levenshtein(a.text, b.text, {most}) >= 0")).select(F.col("a.form").alias("a"), F.col("b.form").alias("b")).collect()
+    root = {r.form: r.root for r in lines.groups(lines.signed_lines(df), df).collect()}
+    linked = sum(p.a in root and root[p.a] == root.get(p.b) for p in near)
+    assert len(near) >= 80 and linked >= 0.9 * len(near)
