@@ -7,10 +7,11 @@ contents are spread over them.  A node's importance has two parts.
 
 * Presentation: elements whose tag or class says menu, header, footer, sidebar,
   notice, advert, form, script, style or comments have none; an ``article`` or
-  ``main`` has full importance, and where a page has one, only its branch counts.
+  ``main`` is a prior: its branch alone counts if it has at least half of the text left.
 * Content: the entropy of the node's contents over the host's pages, in units of
-  the largest possible one.  A node that at least ``LEAST_PAGES`` pages share and whose
-  content importance is under ``LEAST_IMPORTANCE`` is a site's repeated block.
+  the largest possible one, and the information of each single content, in the same units.  A node or
+  content that at least ``LEAST_PAGES`` pages share and whose importance is under
+  ``LEAST_IMPORTANCE`` is a site's repeated block, inside articles too.
 
 Branches of low importance are removed from each page; if nothing would be left,
 only presentation counts.  White space in a block becomes one blank, blocks are
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-LEAST_PAGES = 8
+LEAST_PAGES = 2
 LEAST_IMPORTANCE = 0.2
 #: Sites whose lists of removed nodes are broadcast at most; beyond it they are joined by shuffle.
 BROADCAST_SITES = 100_000
@@ -132,16 +133,25 @@ def host(url: str | None) -> str | None:
         return None
 
 
+def content(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
 def main_text(found: list[tuple[str, bool, bool, str]], low: frozenset[str]) -> str:
-    """The blocks that stay, given the host's nodes of low content importance."""
+    """The blocks that stay, given the host's nodes, and contents of nodes, of low content importance."""
     kept = [b for b in found if not b[1]]
+    kept = [b for b in kept if b[0] not in low and f"{b[0]}\n{content(b[3])}" not in low] or kept
     inside = [b for b in kept if b[2]]
-    kept = inside or kept
-    return "\n\n".join(t for *_, t in ([b for b in kept if b[2] or b[0] not in low] or kept))
+    if 2 * sum(len(b[3]) for b in inside) >= sum(len(b[3]) for b in kept):
+        kept = inside
+    return "\n\n".join(t for *_, t in kept)
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """site, node, pages, importance: the merged style trees of all hosts."""
+    """site, node, pages, importance: the merged style trees of all hosts.
+
+    A content that more than one page has at a node follows as a node of its own: the path, a line feed and its hash.
+    """
 
     def nodes(batches):
         for batch in batches:
@@ -153,13 +163,18 @@ def importance(pages: DataFrame) -> DataFrame:
                     of: dict[str, list[str]] = {}
                     for path, _, _, text in blocks(source):
                         of.setdefault(path, []).append(text)
-                    out += [(site, p, xxhash.xxh64_intdigest("\n".join(t)) - (1 << 63)) for p, t in of.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64())], names=["site", "node", "content"])
+                    out += [(site, p, content("\n".join(t)), False) for p, t in of.items()]
+                    out += [(site, p, c, True) for p, t in of.items() for c in {content(x) for x in t}]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.bool_())], names=["site", "node", "content", "single"])
 
-    seen = pages.select("url", "html").mapInArrow(nodes, "site string, node string, content long").groupBy("site", "node", "content").agg(F.count("*").alias("n"))
-    total = seen.groupBy("site", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("s"))
+    seen = pages.select("url", "html").mapInArrow(nodes, "site string, node string, content long, single boolean").groupBy("site", "node", "content", "single").agg(F.count("*").alias("n"))
+    seen = shared.written(seen.filter("not single or n > 1"), "style-contents")
+    total = seen.filter("not single").groupBy("site", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("s"))
     # The entropy of the shares n/m is ln m - sum(n ln n)/m; its largest value is ln m.
-    return total.select("site", "node", "pages", F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.ln("pages"))).otherwise(1.0).alias("importance"))
+    nodes_of = total.select("site", "node", "pages", F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.ln("pages"))).otherwise(1.0).alias("importance"))
+    # A content of n of the node's m pages tells ln m - ln n.
+    single = seen.filter("single").join(total.select("site", "node", "pages"), ["site", "node"])
+    return nodes_of.unionByName(single.select("site", F.concat_ws("\n", "node", "content").alias("node"), F.col("n").alias("pages"), (1 - F.ln("n") / F.ln("pages")).alias("importance")))
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:

@@ -291,3 +291,12 @@ def test_lines_recall(spark):
     root = {r.form: r.root for r in lines.groups(lines.signed_lines(df), df).collect()}
     linked = sum(p.a in root and root[p.a] == root.get(p.b) for p in near)
     assert len(near) >= 80 and linked >= 0.9 * len(near)
+
+
+def test_pages_repeats_inside_articles(spark):
+    """A site's repeated block goes from inside an article, a story in divs stays beside article teasers, on hosts of few pages too."""
+    rows = [(i, f"http://a/{i}", f"<body><article><p>Story number {i} is told here</p><p>We promise to write well</p><div class='x'>Send this on</div></article></body>") for i in range(3)]
+    rows += [(10 + i, f"http://b/{i}", f"<body><div><p>Tale number {i} goes on and on, longer than any teaser {i}</p></div><article><p>Teaser {i}</p></article></body>") for i in range(3)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story number {i} is told here" for i in range(3))
+    assert all(got[10 + i].startswith(f"Tale number {i}") for i in range(3))
