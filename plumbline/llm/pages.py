@@ -5,8 +5,10 @@ its node is the path of element labels (tag, id and class words) above it.  The
 pages of one host are merged: for each node, how many pages have it and how its
 contents are spread over them.  A node's importance has two parts.
 
-* Presentation: elements whose tag or class says menu, header, footer, sidebar,
-  notice, advert, form, script, style or comments have none; an ``article`` or
+* Presentation: elements whose tag, or a whole class, id or role, says menu, footer,
+  advert, script, style or comments have none (``HARD``).  Forms, headers, sidebars, notices and the like
+  have little (``SOFT``): articles inside them and such elements inside articles count in full, and where
+  they have more text than all else of the page, they count too.  An ``article`` or
   ``main`` is a prior: its branch alone counts if it has at least half of the text left.
 * Content: the entropy of the node's contents over the host's pages, in units of
   the largest possible one, and the information of each single content, in the same units.  A node or
@@ -14,7 +16,7 @@ contents are spread over them.  A node's importance has two parts.
   ``LEAST_IMPORTANCE`` is a site's repeated block, inside articles too.
 
 Branches of low importance are removed from each page; if nothing would be left,
-only presentation counts.  White space in a block becomes one blank, blocks are
+only presentation counts, and where that leaves nothing either, the branch with most text.  White space in a block becomes one blank, blocks are
 joined by two line feeds.
 
 Null and empty html give the empty text.  Null urls and urls without a host form a
@@ -46,19 +48,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea iframe svg math select option object canvas title".split())
 DROP_TAGS = frozenset("nav header footer aside form button dialog menu head".split()) | RAW
 DROP_WORDS = frozenset("ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer foot sidebar aside rail widget widgets notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond replies reply form search pagination pager copyright legal disclaimer".split())
+SOFT_TAGS = frozenset("form header".split())
+SOFT_WORDS = frozenset("header masthead sidebar rail form search notice notices legal disclaimer copyright".split())
+#: How much presentation speaks against a block.
+FULL, SOFT, HARD = 0, 1, 2
 CLOSES = {"p": frozenset("p".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 INLINE_KEEPS_P = frozenset("a abbr b bdi bdo big br button cite code data dfn em font i img input kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def blocks(source: str) -> list[tuple[str, bool, bool, str]]:
-    """(node path, dropped by presentation, in an article, text) of every block with text, in page order."""
-    out: list[tuple[str, bool, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, dropped, in an article
+def blocks(source: str) -> list[tuple[str, int, bool, str]]:
+    """(node path, dropped by presentation (FULL, SOFT, HARD), in an article, text) of every block with text, in page order."""
+    out: list[tuple[str, int, bool, str]] = []
+    stack: list[tuple[str, str, int, bool]] = []  # tag, path, dropped, in an article
     held: list[str] = []
     at, end = 0, len(source)
 
@@ -67,8 +72,8 @@ def blocks(source: str) -> list[tuple[str, bool, bool, str]]:
             text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
             held.clear()
             if text:
-                path, dropped, article = next(((p, d, a) for t, p, d, a in reversed(stack) if t in BLOCK), ("", False, False))
-                dropped = dropped or bool(stack and stack[-1][2])
+                path, dropped, article = next(((p, d, a) for t, p, d, a in reversed(stack) if t in BLOCK), ("", FULL, False))
+                dropped = max(dropped, stack[-1][2] if stack else FULL)
                 out.append((path, dropped, article, text))
 
     while at < end:
@@ -87,7 +92,7 @@ def blocks(source: str) -> list[tuple[str, bool, bool, str]]:
             if place is not None:
                 if any(t in BLOCK for t, *_ in stack[place:]):
                     flush()
-                elif stack[place][2] and not (place and stack[place - 1][2]):
+                elif stack[place][2] > (stack[place - 1][2] if place else FULL):
                     flush()
                 del stack[place:]
             elif tag in BLOCK:
@@ -115,13 +120,17 @@ def blocks(source: str) -> list[tuple[str, bool, bool, str]]:
                     break
         names = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[3])} if m[3] else {}
         label = tag + "".join(f".{w}" for w in sorted({*(names.get("class") or "").lower().split(), *(names.get("id") or "").lower().split()}))
-        words = {w for v in (names.get("class"), names.get("id"), names.get("role")) if v for w in _WORD.findall(v.lower())}
-        path, dropped, article = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else ("", False, False)
-        own = tag in DROP_TAGS or bool(words & DROP_WORDS) and tag not in ("article", "main", "body", "html")
-        if own and not dropped and tag not in BLOCK:
+        words = {w for v in (names.get("class"), names.get("id"), names.get("role")) if v for w in v.lower().split()}
+        path, dropped, article = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else ("", FULL, False)
+        root = tag in ("article", "main")
+        if root and dropped == SOFT:
+            dropped = FULL
+        own = FULL
+        if tag in DROP_TAGS or words & DROP_WORDS and not root and tag not in ("body", "html"):
+            own = HARD if tag in DROP_TAGS - SOFT_TAGS or words & DROP_WORDS - SOFT_WORDS else FULL if article else SOFT
+        if own > dropped and tag not in BLOCK:
             flush()
-        article = article or tag in ("article", "main")
-        stack.append((tag, f"{path}/{label}" if tag in BLOCK else path, dropped or own, article))
+        stack.append((tag, f"{path}/{label}" if tag in BLOCK else path, max(dropped, own), article or root))
     flush()
     return out
 
@@ -137,9 +146,21 @@ def content(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def main_text(found: list[tuple[str, bool, bool, str]], low: frozenset[str]) -> str:
+def best_branch(found: list[tuple[str, int, bool, str]]) -> list[tuple[str, int, bool, str]]:
+    """The blocks of the parent element whose blocks have most text."""
+    size: dict[str, int] = {}
+    for path, _, _, text in found:
+        parent = path.rpartition("/")[0]
+        size[parent] = size.get(parent, 0) + len(text)
+    best = max(size, key=size.__getitem__, default="")
+    return [b for b in found if b[0].rpartition("/")[0] == best]
+
+
+def main_text(found: list[tuple[str, int, bool, str]], low: frozenset[str]) -> str:
     """The blocks that stay, given the host's nodes, and contents of nodes, of low content importance."""
-    kept = [b for b in found if not b[1]]
+    size = lambda level: sum(len(b[3]) for b in found if b[1] == level)
+    most = SOFT if size(SOFT) > size(FULL) else FULL
+    kept = [b for b in found if b[1] <= most] or best_branch(found)
     kept = [b for b in kept if b[0] not in low and f"{b[0]}\n{content(b[3])}" not in low] or kept
     inside = [b for b in kept if b[2]]
     if 2 * sum(len(b[3]) for b in inside) >= sum(len(b[3]) for b in kept):

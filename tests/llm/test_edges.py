@@ -300,3 +300,13 @@ def test_pages_repeats_inside_articles(spark):
     got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Story number {i} is told here" for i in range(3))
     assert all(got[10 + i].startswith(f"Tale number {i}") for i in range(3))
+
+
+def test_pages_drop_words_keep_articles():
+    """Whole words only; forms, headers and notices around or inside an article do not take it; something is always left."""
+    text = lambda source: pages.main_text(pages.blocks(source), frozenset())
+    assert text("<body><form><nav>m</nav><article><header><h1>Head</h1></header><p>Story</p><div class='notice'>Prose</div></article></form></body>") == "Head\n\nStory\n\nProse"
+    assert text("<body><div class='layout no-sidebar' id='form-page'><p>Story</p></div><div class='sidebar'>s</div></body>") == "Story"
+    assert text("<body><p>x</p><form><nav>m</nav><div><p>A story in a form</p></div></form></body>") == "x\n\nA story in a form"
+    assert text("<body><aside><div><p>All of it</p><p>is here</p></div></aside><nav>m</nav></body>") == "All of it\n\nis here"
+    assert text("<body><div class='comments'><article>c</article></div><p>Story</p></body>") == "Story"
