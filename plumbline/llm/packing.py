@@ -3,9 +3,10 @@
 Documents are encoded once, in the order in which the scan gives them, and cut
 into shards of at most ``SHARD_TOKENS`` ids (a longer document lies in several), each
 a row of a table in the shared folder.  Document frequencies and the mean length
-are summed over all shards; the vocabulary bounds that table.  Then every shard has
+are summed over all shards, a document's later pieces by the terms that its earlier ones
+lack; the vocabulary bounds that table.  Then every shard has
 its own BM25 inverted index.  A window begins with the rest of the last document, or
-else the next unused one, as seed; its ``QUERY_TERMS`` weightiest terms are looked up,
+else the next unused one, as seed; all its terms are looked up,
 and the best unused documents follow until the window is full.  The last one is
 cut, and its rest is the next seed.  What is left at a shard's end becomes windows of
 powers of two, so that no place is padded.
@@ -28,7 +29,6 @@ from . import shared, tokens
 
 WINDOW = 2048
 SHARD_TOKENS = 1 << 20
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 END_ID = 1
 
@@ -55,16 +55,22 @@ def shards(documents: DataFrame, vocabulary: str, shard_tokens: int = SHARD_TOKE
         part, number = TaskContext.get().partitionId(), 0
         encode = tokens.encoder(vocabulary).encode
         held, about, n = [], [], 0
+        # Terms of the earlier pieces of the document that crosses into this shard.
+        before = np.zeros(0, np.int64)
         end = np.array([END_ID], np.uint32)
 
         def row() -> pa.RecordBatch:
+            nonlocal before
             ids = np.concatenate(held)
             sizes = np.array([len(x) for x in held], np.int64)
             terms, documents, _ = term_counts(ids, sizes)
             starts = np.array([a[1] for a in about])
-            # A document that goes on from the last shard was counted there.
-            fresh = terms[starts[documents] == 0]
-            own, df = np.unique(fresh, return_counts=True)
+            # Of a document that goes on from the last shard, only terms that are new in this piece count.
+            fresh = (starts[documents] == 0) | ~np.isin(terms, before)
+            own, df = np.unique(terms[fresh], return_counts=True)
+            # Only the last document can go on; in the shard's first place it may have gone on before, too.
+            last = terms[documents == len(held) - 1]
+            before = np.union1d(before, last) if starts[-1] else last
             doc, start, total = zip(*about, strict=True)
             return pa.RecordBatch.from_pylist([{"part": part, "shard": number, "doc_id": list(doc), "start": list(start), "doc_tokens": list(total), "sizes": sizes.tolist(), "terms": own.tolist(), "df": df.tolist(), "ids": ids.astype("<u4").tobytes() if ids.max() > 65535 else ids.astype("<u2").tobytes()}], schema)
 
@@ -98,12 +104,10 @@ class Index:
         self.documents = documents
         self.weights = idf[terms] * counts * (K1 + 1) / (counts + scale[documents])
         self.starts = np.searchsorted(terms, np.arange(len(idf) + 1))
-        # Every document's weightiest terms are its query.
-        by = np.lexsort((terms, -self.weights, documents))
-        place = np.arange(len(by)) - np.searchsorted(documents[by], np.arange(self.n))[documents[by]]
-        top = by[place < QUERY_TERMS]
-        self.query_terms = terms[top]
-        self.query_at = np.searchsorted(documents[top], np.arange(self.n + 1))
+        # Every document's terms are its query.
+        by = np.argsort(documents, kind="stable")
+        self.query_terms = terms[by]
+        self.query_at = np.searchsorted(documents[by], np.arange(self.n + 1))
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a query term with the seed, the best first; ties in document order."""

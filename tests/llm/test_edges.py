@@ -310,3 +310,25 @@ def test_pages_drop_words_keep_articles():
     assert text("<body><p>x</p><form><nav>m</nav><div><p>A story in a form</p></div></form></body>") == "x\n\nA story in a form"
     assert text("<body><aside><div><p>All of it</p><p>is here</p></div></aside><nav>m</nav></body>") == "All of it\n\nis here"
     assert text("<body><div class='comments'><article>c</article></div><p>Story</p></body>") == "Story"
+
+
+def test_packing_looks_up_all_terms():
+    """A seed of very many terms meets a document that shares only its lighter ones."""
+    rng = np.random.default_rng(8)
+    seed, other = np.arange(100, 200), rng.integers(300, 400, 20)
+    ids = np.concatenate([seed, other, np.arange(190, 200), other])
+    idf = np.ones(500)
+    idf[100:190] = 2.0
+    got = packing.pack(ids, np.array([100, 20, 10, 20]), idf, 40.0, window=128)
+    assert [d for d, *_ in got][:2] == [0, 2]
+
+
+def test_packing_document_frequency_over_pieces(spark, library):
+    """The frequencies are those of whole documents, however many shards a document lies in."""
+    texts = {i: " ".join(f"w{(i * 7 + k) % 90}x" for k in range(n)) for i, n in enumerate((3, 400, 40, 700, 5, 90))}
+    want = Counter(t for x in texts.values() for t in {*library.encode(x, add_special_tokens=False).ids, packing.END_ID})
+    df = spark.createDataFrame(list(texts.items()), SCHEMA).coalesce(1)
+    got = Counter()
+    for r in packing.shards(df, tokens.vocabulary_path(), 300).collect():
+        got.update(dict(zip(r.terms, r.df, strict=True)))
+    assert got == want
