@@ -59,7 +59,7 @@ CUT_SQL = """SELECT conv_id, CAST(max(i) AS INTEGER) AS kept_from, CAST(max(i) -
 
 def last_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    return ordered.first_wins(c, ["conv_id"], [F.desc("turn"), F.desc("text")]).select("conv_id", "turn", F.substring("text", 1, 500).alias("text"))
+    return ordered.first_wins(c, ["conv_id"], [F.desc("turn"), F.desc("text")]).select("conv_id", "turn", "text")
 
 
 LAST_SQL = "SELECT conv_id, turn, substr(text, 1, 500) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS r FROM conversations WHERE role = 'assistant') WHERE r = 1"
