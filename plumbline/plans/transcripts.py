@@ -10,6 +10,8 @@ from plumbline.functions.text import normalize
 from plumbline.operators import joins, ordered
 
 K1, B = 1.5, 0.75
+#: Shares into which the documents of a term are dealt.
+SALTS = 8
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,21 +89,22 @@ STATUS_SQL = "SELECT event_type, count(*) AS n, CAST(sum(TRY_CAST(json_extract_s
 def bm25(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The k best documents for each benchmark text by Okapi BM25 (k1 = 1.5, b = 0.75); scores of zero or less are dropped.
 
-    The query terms of an item are at most its 12 rarest that occur in under a hundredth of the documents.
+    Every query token counts, as often as it occurs.
     """
     words = lambda df, i: df.select(i, F.explode(F.split(normalize(F.col("text")), " ")).alias("term")).filter("term <> ''")
     docs = _t(spark, sf_dir, "documents")
     tf = words(docs, "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     size = docs.select("doc_id", F.size(F.filter(F.split(normalize(F.col("text")), " "), lambda w: w != "")).alias("dl"))
     total = size.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    query = words(_t(spark, sf_dir, "benchmark"), "item_id").distinct()
-    df = tf.join(query.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rare = df.crossJoin(F.broadcast(total)).filter(F.col("df") * 100 <= F.col("n"))  # total is one row
-    chosen = ordered.top(query.join(rare, "term"), ["item_id"], [F.asc("df"), F.asc("term")], 12)
+    query = words(_t(spark, sf_dir, "benchmark"), "item_id").groupBy("item_id", "term").agg(F.count("*").alias("times"))
+    tf = tf.join(query.select("term").distinct(), "term", "left_semi")
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # total is one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hit = chosen.join(tf, "term").join(size, "doc_id")
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    scored = hit.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    # A frequent term's documents and queries meet in SALTS tasks: documents are dealt, queries copied.
+    weights = tf.join(df, "term").join(size, "doc_id").select("term", "doc_id", weight.alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    dealt = query.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    scored = dealt.join(weights, ["term", "salt"]).groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("times") * F.col("w")), 9).alias("score")).filter("score > 0")
     return ordered.top(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], k).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
