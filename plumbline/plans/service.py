@@ -103,7 +103,7 @@ def daily_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     _t(spark, sf_dir, "events").write.parquet(f"{base}/in")
     schema = spark.read.parquet(f"{base}/in").schema
-    return ingest.run_available(ingest.tumbling(ingest.events_stream(spark, f"{base}/in", schema), "1 day"), f"{base}-out", f"{base}/state", "complete").select(F.to_date("start").alias("day"), "event_type", "n")
+    return ingest.run_available(ingest.tumbling(ingest.events_stream(spark, f"{base}/in", schema).dropDuplicates(["event_id"]), "1 day"), f"{base}-out", f"{base}/state", "complete").select(F.to_date("start").alias("day"), "event_type", "n")
 
 
 STREAM_SQL = "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL"

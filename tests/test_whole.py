@@ -4,7 +4,7 @@ import math
 import re
 from collections import Counter
 
-from plumbline.plans import transcripts
+from plumbline.plans import service, transcripts
 
 
 def test_last_text_is_whole(spark, tmp_path):
@@ -26,3 +26,9 @@ def test_bm25_scores_every_token(spark, tmp_path):
         want |= {(i, d, round(x, 6)) for d, x in sorted(score.items(), key=lambda p: (-p[1], p[0]))[:5] if x > 0}
     got = {(r.item_id, r.doc_id, r.score) for r in transcripts.bm25(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_daily_stream_counts_an_event_once(spark, tmp_path):
+    rows = [(1, "2024-01-01 10:00:00", "view", 1.0), (1, "2024-01-01 10:00:00", "view", 1.0), (2, "2024-01-01 11:00:00", "view", 2.0), (3, "2024-01-02 10:00:00", "click", 3.0)]
+    spark.createDataFrame(rows, "event_id long, ts string, event_type string, value double").selectExpr("event_id", "cast(ts as timestamp) as ts", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted((str(r.day), r.event_type, r.n) for r in service.daily_stream(spark, str(tmp_path)).collect()) == [("2024-01-01", "view", 2), ("2024-01-02", "click", 1)]
