@@ -195,13 +195,15 @@ def test_lines(spark, empty):
     long_line = " ".join(f"word{i}" for i in range(60))
     near = long_line.replace("word7 ", "word8x ")
     rows = [(1, f"{long_line}\nshort one\n\n!!"), (2, f"{near}\nanother line\nShort, one"), (3, None), (4, ""), (5, long_line.upper()), (6, "\n\n"), (None, "short one")]
-    df = spark.createDataFrame([(*r, "k", 9) for r in rows], "doc_id long, text string, line string, form int")
+    df = spark.createDataFrame([(*r, "k", 9, 7) for r in rows], "doc_id long, text string, line string, form int, n_kept int").withColumn("_line_text", F.lit("x")).withColumn("line_gone", F.lit(0))
     got = {r.doc_id: r for r in lines.dedup(df).collect()}
+    assert all(r._line_text == "x" and r.line_gone == 0 for r in got.values()) and got[3].n_kept is None and got[4].n_kept == 1
     # A null id comes first, so its line is the one that stays.
     assert got[None].text == "short one" and got[1].text == f"{long_line}\n\n!!" and got[2].text.split("\n")[-1] == "another line"
     assert got[3].text is None and got[4].text == "" and got[5].text == "" and got[6].text == "\n\n" and got[1].line == "k" and got[1].form == 9
-    kept = {r.doc_id for r in lines.stage(spark, df, "").collect()}
-    assert 5 not in kept and {None, 1, 2, 3, 4, 6} <= kept
+    staged = lines.stage(spark, df, "").collect()
+    kept = {r.doc_id for r in staged}
+    assert all(r.n_kept == 7 for r in staged) and 5 not in kept and {None, 1, 2, 3, 4, 6} <= kept
     assert lines.dedup(empty).count() == 0
 
 
@@ -255,14 +257,42 @@ def test_pages(spark):
 
 
 def test_simhash(spark):
-    texts = ["a b c d", "x y", " ".join(f"w{k}" for k in range(700)), "the", "dog cat cow hen pig dog dog"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for r in df.select("t", lines.simhash("split(t, ' ')").alias("s"), F.expr("array_distinct(transform(split(t, ' '), w -> xxhash64(w, 5)))").alias("h")).withColumn("tie", F.expr("xxhash64(array_min(h))")).collect():
+    """SimHash, size and run hashes of short lines and of lines of several chunks, against plain counting."""
+    texts = ["a b c d", "x y", " ".join(f"w{k}" for k in range(700)), "the", "dog cat cow hen pig dog dog", "a a a a " * 70 + "b"]
+    df = spark.createDataFrame([(t,) for t in texts], "_norm string").withColumn("form", F.xxhash64("_norm"))
+    got = {r.form: r for r in lines.signed_forms(df, []).collect()}
+    hashed = df.select("form", "_norm", F.split("_norm", " ").alias("w")).withColumn("h", F.transform("w", lambda x, i: F.xxhash64(x, F.coalesce(F.get("w", i + 1), F.lit("")))))
+    for r in hashed.withColumn("tie", F.xxhash64(F.array_min("h"))).collect():
         want = 0
         for i in range(64):
             n = 2 * sum(h >> i & 1 for h in r.h)
             want |= (n > len(r.h) or n == len(r.h) and r.tie >> i & 1) << i
-        assert r.s & (1 << 64) - 1 == want
+        assert got[r.form].simhash & (1 << 64) - 1 == want and got[r.form]["size"] == len(r._norm) and (got[r.form].run0 is None) == (len(r.w) < lines.RUN)
+
+
+def test_near_text(spark):
+    """The bounds and the cut ends change nothing: pairs hold as by the plain edit distance."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("eainthrsodlué"), rng.integers(1, 9))) for _ in range(300)]
+    rows = []
+    for i in range(400):
+        a = list(rng.choice(words, rng.integers(1, 60) if i % 40 else 700))
+        b = list(a)
+        for _ in range(int(rng.integers(0, max(2, len(a) // 2)))):
+            k, how = int(rng.integers(0, len(b))), rng.integers(0, 4)
+            if how == 0 and len(b) > 1:
+                del b[k]
+            elif how == 1:
+                b.insert(k, str(rng.choice(words)))
+            elif how == 2:
+                b[k] = str(rng.choice(words))
+            else:
+                b[k] = b[k][::-1]
+        if a != b:
+            rows.append((" ".join(a), " ".join(b)))
+    most = "cast(floor(0.15D * greatest(char_length(a), char_length(b)) + 1e-9D) AS int)"
+    out = spark.createDataFrame(rows, "a string, b string").select("a", "b", lines.near_text("a", "b", 0.85).alias("got"), F.expr(f"levenshtein(a, b) <= {most}").alias("want")).collect()
+    assert all(r.got == r.want for r in out) and 40 < sum(r.want for r in out) < len(out) - 40
 
 
 def test_lines_buckets_cost_no_pairs_of_a_group(spark):
@@ -288,7 +318,8 @@ def test_lines_recall(spark):
     form = df.select(F.xxhash64("text").alias("form"), "text")
     most = "cast(floor(0.15D * greatest(length(a.text), length(b.text)) + 1e-9D) AS int)"
     near = form.alias("a").join(form.alias("b"), F.expr(f"a.form < b.form AND levenshtein(a.text, b.text, {most}) >= 0")).select(F.col("a.form").alias("a"), F.col("b.form").alias("b")).collect()
-    root = {r.form: r.root for r in lines.groups(lines.signed_lines(df), df).collect()}
+    own = shared.written(lines.occurrences(df), "test-lines")
+    root = {r.form: r.root for r in lines.groups(lines.signed_forms(lines.distinct_forms(own), []), own).collect()}
     linked = sum(p.a in root and root[p.a] == root.get(p.b) for p in near)
     assert len(near) >= 80 and linked >= 0.9 * len(near)
 
