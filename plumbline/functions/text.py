@@ -60,14 +60,62 @@ def first_digits(s: Column) -> Column:
     return F.nullif(F.regexp_extract(s, r"\d+", 0), F.lit("")).try_cast("int")
 
 
+# What keys of schedule rows and kinds of positioned words look like.
+TAG = r"^[A-Z]$|^[A-Z]{1,4}-?\d+[A-Z]?$"
+DOOR_MARK = r"^[NS][A-Z]?\d{2,}[A-Z]{0,2}$"
+ROOM = r"^[NS]\d{3}[A-Z]?$"
+GRID = r"^([NS]-[A-Z0-9]{1,2}|[A-K]|[1-8])$"
+SHEET_REFERENCE = r"^(SHEET\s+)?[A-Z]{1,3}\d+\.\d+(\.\d+)*$"
+ROOM_NAME = r"^[A-Z][A-Z0-9 &/().\-]{2,}$"
+SCALE = r"""(\d{1,2})(?:\s*/\s*(\d{1,3}))?\s*"\s*=\s*(\d{1,3})\s*['′]"""
+SHEET_NUMBER = r"^[A-Z]{1,3}\d[A-Za-z0-9_.]*$"
+# Disciplines by the letters of a sheet number, and drawing types by the first word found in a title.
+DISCIPLINES = {
+    "G": "General", "S": "Structural", "A": "Architectural", "AD": "Architectural", "AF": "Architectural", "FP": "Fire Protection", "P": "Plumbing", "PD": "Plumbing",
+    "M": "Mechanical", "MD": "Mechanical", "E": "Electrical", "ED": "Electrical", "EMP": "Electrical", "T": "Technology", "Y": "Security",
+}
+DRAWING_TYPES = (
+    ("REFLECTED CEILING PLAN", "Reflected Ceiling Plan"), ("SCHEDULE", "Schedule"), ("DEMOLITION", "Demolition Plan"), ("ENLARGED", "Enlarged Plan"), ("FLOOR PLAN", "Floor Plan"),
+    ("ELEVATION", "Elevation"), ("SECTION", "Section"), ("DETAIL", "Detail"), ("ABBREVIATIONS", "Reference"), ("SYMBOLS", "Reference"),
+)
+
+
 def looks_like_tag(s: Column) -> Column:
-    """A short tag: capitals and digits, at most one hyphen group, with a digit or one letter only."""
-    return s.rlike(r"^[A-Z]{1,4}-?\d{1,3}[A-Z]?$|^[A-Z]$")
+    """A catalog tag: one capital, or up to four and a number of any length, a hyphen between, a letter behind."""
+    return strip(s).rlike(TAG)
 
 
 def looks_like_mark(s: Column) -> Column:
-    """Two to eight capitals or digits, one digit at least."""
-    return s.rlike(r"^(?=.*\d)[A-Z0-9]{2,8}$")
+    """Two to eight letters or digits, one digit at least."""
+    return s.rlike(r"^(?=.*\d)[A-Za-z0-9]{2,8}$")
+
+
+def is_door_mark(s: Column) -> Column:
+    return s.rlike(DOOR_MARK)
+
+
+def is_room(s: Column) -> Column:
+    return s.rlike(ROOM)
+
+
+def discipline(sheet_number: Column) -> Column:
+    """By the capitals that begin the number; Unknown else."""
+    prefix = F.regexp_extract(sheet_number, "^[A-Z]+", 0)
+    known = F.create_map(*(F.lit(x) for kv in DISCIPLINES.items() for x in kv))
+    return F.coalesce(F.try_element_at(known, prefix), F.lit("Unknown"))
+
+
+def drawing_type(title: Column) -> Column:
+    """By the first of the rules whose word the title has; null if none."""
+    upper, out = F.upper(title), F.lit(None).cast("string")
+    for word, kind in reversed(DRAWING_TYPES):
+        out = F.when(F.contains(upper, F.lit(word)), kind).otherwise(out)
+    return out
+
+
+def abbreviation_score(short_tokens_: Column) -> Column:
+    """Rises with the number of short capital words and never reaches one."""
+    return short_tokens_ / (short_tokens_ + 400.0)
 
 
 def dedouble(s: Column) -> Column:
@@ -78,9 +126,8 @@ def dedouble(s: Column) -> Column:
 
 
 def scale_factor(s: Column) -> Column:
-    """``N/M" = D'`` (or ``N" = D'``) as real size over drawn size, to four places; null if none or zero."""
-    pattern = r"""(\d+)(?:\s*/\s*(\d+))?\s*"\s*=\s*(\d+)\s*'"""
-    g = lambda i: F.nullif(F.regexp_extract(s, pattern, i), F.lit("")).cast("double")
+    """``N/M" = D'`` (or ``N" = D'``, with either mark for feet) as real size over drawn size, to four places; null if none or zero."""
+    g = lambda i: F.nullif(F.regexp_extract(s, SCALE, i), F.lit("")).cast("double")
     drawn = g(1) / F.coalesce(F.nullif(g(2), F.lit(0.0)), F.when(g(2).isNull(), 1.0))
     return F.when(drawn > 0, F.round(g(3) * 12 / drawn, 4))
 
@@ -101,10 +148,10 @@ def token_kind(s: Column) -> Column:
     t = strip(s)
     return (
         F.when(t == "", "blank")
-        .when(t.rlike(r"^[A-Z]{1,2}-\d{1,2}$|^[A-Z]$"), "grid_label")
-        .when(t.rlike(r"^[NS]\d{3}[A-Z]$"), "door_mark")
-        .when(t.rlike(r"^[A-Z]{1,3}\d+(\.\d+)+[A-Z]?$"), "sheet_reference")
-        .when(t.rlike(r"""\d+'\s*-\s*\d+"|^\d+'$"""), "dimension")
-        .when(t.rlike(r"^[NS]\d{3}$"), "room_number")
+        .when(t.rlike(GRID), "grid_label")
+        .when(t.rlike(ROOM), "door_mark")
+        .when(t.rlike(SHEET_REFERENCE), "sheet_reference")
+        .when(t.rlike(r"\d+'"), "dimension")
+        .when(t.rlike(ROOM_NAME), "room_name")
         .otherwise("unknown")
     )

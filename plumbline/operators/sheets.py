@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.text import number, scale_factor, strip
+from plumbline.functions.text import SCALE, number, scale_factor, strip
 from plumbline.operators.ordered import first_wins
 
 
@@ -47,7 +47,7 @@ def fixture_counts(words: DataFrame, tags: DataFrame, pages: DataFrame, by: list
 
 def sheet_scales(texts: DataFrame, by: list[str], order: str, text: str = "text") -> DataFrame:
     """by, factor, confidence, ambiguous, all_scales: no scale, one (1.0) or several (0.4) distinct scales of a sheet."""
-    said = texts.select(*by, order, F.posexplode(F.regexp_extract_all(text, F.lit(r"""\d+(?:\s*/\s*\d+)?\s*"\s*=\s*\d+\s*'"""), 0)).alias("_i", "_s"))
+    said = texts.select(*by, order, F.posexplode(F.regexp_extract_all(text, F.lit(SCALE), 0)).alias("_i", "_s"))
     said = said.withColumn("_c", F.regexp_replace("_s", r"\s+", ""))
     first = said.groupBy(*by, "_c").agg(F.min(F.struct(order, "_i", F.col("_s"))).alias("_f"))
     found = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_f", "_c"))).alias("_l"))

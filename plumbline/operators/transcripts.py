@@ -34,14 +34,23 @@ def loops(blocks: DataFrame, times: int = 3) -> DataFrame:
     return last.groupBy("conv_id").agg(F.count("*").alias("n"), F.countDistinct(F.struct("name", F.coalesce("args", F.lit("")))).alias("d"), F.max("name").alias("name")).filter((F.col("n") == times) & (F.col("d") == 1)).select("conv_id", "name")
 
 
-def query_text(messages: DataFrame, recent: int = 6, most: int = 500) -> DataFrame:
-    """conv_id, query: the first message and what the assistant said among the last ones, cut to ``most`` characters."""
-    asc = Window.partitionBy("conv_id").orderBy("turn")
-    late = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    rows = messages.withColumn("_i", F.row_number().over(asc)).withColumn("_r", F.row_number().over(late))
-    used = rows.filter((F.col("_i") == 1) | ((F.col("_r") <= recent) & (F.col("role") == "assistant")))
-    listed = used.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_t"))
-    return listed.select("conv_id", F.substring(F.array_join(F.transform("_t", lambda x: x["text"]), " "), 1, most).alias("query"))
+def query_text(blocks: DataFrame, recent: int = 6, most: int = 500) -> DataFrame:
+    """conv_id, query: the texts of the first message, then what the assistant said and called in the last messages.
+
+    A text of the assistant is cut to ``most`` characters, each by itself (a parameter, as that is the feature); a call is
+    its name and its argument keys (``args`` is JSON text).
+    """
+    messages = blocks.select("conv_id", "turn").distinct()
+    asc, late = (Window.partitionBy("conv_id").orderBy(o) for o in (F.asc("turn"), F.desc("turn")))
+    placed = messages.withColumn("_i", F.row_number().over(asc)).withColumn("_r", F.row_number().over(late))
+    rows = blocks.join(placed, ["conv_id", "turn"])
+    first = (F.col("_i") == 1) & (F.col("kind") == "text")
+    near = (F.col("_r") <= recent) & (F.col("role") == "assistant") & F.col("kind").isin("text", "call")
+    keys = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce(F.json_object_keys("args"), F.array().cast("array<string>")), lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", "), F.lit("]"))
+    said = F.when(F.col("kind") == "call", F.concat_ws(" ", "name", keys)).otherwise(F.substring("text", 1, most))
+    parts = F.array_compact(F.array(F.when(first, F.struct(F.lit(0).alias("o"), "turn", "block_ord", F.col("text").alias("t"))), F.when(near, F.struct(F.lit(1).alias("o"), "turn", "block_ord", said.alias("t")))))
+    listed = rows.select("conv_id", F.explode(parts).alias("p")).groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("_t"))
+    return listed.select("conv_id", F.array_join(F.transform("_t", lambda x: x["t"]), " ").alias("query"))
 
 
 def last_text(blocks: DataFrame) -> DataFrame:

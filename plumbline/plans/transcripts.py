@@ -12,6 +12,8 @@ from plumbline.operators import joins, ordered
 K1, B = 1.5, 0.75
 #: Shares into which the documents of a term are dealt.
 SALTS = 8
+#: Query terms that are broadcast at most.
+MOST_TERMS = 500_000
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +66,7 @@ def last_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.first_wins(c, ["conv_id"], [F.desc("turn"), F.desc("text")]).select("conv_id", "turn", "text")
 
 
-LAST_SQL = "SELECT conv_id, turn, substr(text, 1, 500) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS r FROM conversations WHERE role = 'assistant') WHERE r = 1"
+LAST_SQL = "SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS r FROM conversations WHERE role = 'assistant') WHERE r = 1"
 
 
 def loops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +95,13 @@ def bm25(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """
     words = lambda df, i: df.select(i, F.explode(F.split(normalize(F.col("text")), " ")).alias("term")).filter("term <> ''")
     docs = _t(spark, sf_dir, "documents")
-    tf = words(docs, "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     size = docs.select("doc_id", F.size(F.filter(F.split(normalize(F.col("text")), " "), lambda w: w != "")).alias("dl"))
     total = size.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     query = words(_t(spark, sf_dir, "benchmark"), "item_id").groupBy("item_id", "term").agg(F.count("*").alias("times"))
-    tf = tf.join(query.select("term").distinct(), "term", "left_semi")
+    asked = query.select("term").distinct()
+    # A term that no query has is dropped before anything is shuffled, if the asked terms are few enough to broadcast.
+    asked = F.broadcast(asked) if asked.count() <= MOST_TERMS else asked
+    tf = words(docs, "doc_id").join(asked, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # total is one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
@@ -110,9 +114,9 @@ def bm25(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
 
 BM25_SQL = f"""WITH norm AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents), tok AS (SELECT doc_id, unnest(w) AS term FROM norm),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term <> '' GROUP BY ALL), size AS (SELECT doc_id, len([x FOR x IN w IF x <> '']) AS dl FROM norm), total AS (SELECT count(*) AS n, avg(dl) AS mean FROM size),
-q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term FROM benchmark) WHERE term <> ''),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), c AS (SELECT * FROM (SELECT item_id, q.term, df, n, mean, row_number() OVER (PARTITION BY item_id ORDER BY df, q.term) AS r FROM q JOIN df USING (term), total WHERE df * 100 <= n) WHERE r <= 12),
-s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * dl / mean))), 9) AS score FROM c JOIN tf USING (term) JOIN size USING (doc_id) GROUP BY ALL)
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term FROM benchmark) WHERE term <> '' GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT item_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * dl / mean))), 9) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN size USING (doc_id), total GROUP BY ALL)
 SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0) WHERE r <= 5"""
 
 
