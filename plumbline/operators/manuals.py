@@ -121,3 +121,68 @@ def abbreviations(words: DataFrame, by: list[str], anchors: tuple[float, ...] =
     t = F.transform("_w", lambda w: w["t"])
     pairs = cells.filter(F.size("_w") >= 2).select(*by, "row", "col", F.get(t, 0).alias("abbreviation"), F.array_join(F.slice(t, 2, F.size(t)), " ").alias("definition")).filter(F.col("abbreviation").rlike(r"^[A-Z0-9/&.\-]{1,7}$"))
     return pairs.groupBy(*by, "abbreviation", "definition").agg(F.min(F.struct("row", "col")).alias("ord"))
+
+
+# Headers of parts and clauses, bodies that issue standards, and fields of a finish list.
+PART = rf"^\s*PART\s+([1-3])\s*{DASH}\s*(.+?)\s*$"
+CLAUSE = r"^\s*(\d\.\d{2})\s+(.+?)\s*$"
+STANDARD = r"(?:ASTM|NFPA|ANSI|UL)\s+[A-Z]?\d+"
+FINISH_CODE = r"\b([A-Z]{1,4}-\d+[A-Z]?)\s+TYPE:"
+FINISH_FIELD = r"(?i)\b(?:TYPE|STYLE|MANUFACTURE|MANUFACTURER|LOCATION|COLOR|INSTALL|NOTES|GRID|PROFILE|CONTENT|ELEVATION|CONTACT)\s*:"
+
+
+def section_bounds(lines: DataFrame, by: list[str], page: str = "page", line: str = "line", most: int = 60) -> DataFrame:
+    """by, section, start, stop: from the first page with the section's header to the page that closes it.
+
+    A page with END OF SECTION is the last; else the one before the next page with a section's header; else the last
+    of ``most`` pages.  The closing words of a page count before its header.
+    """
+    head, number = F.col(line).rlike(r"^\s*SECTION\s+\d{6}"), _found(F.col(line), rf"^\s*SECTION\s+(\d{{6}})\s*{DASH}")
+    per = lines.groupBy(*by, page).agg(F.max(F.contains(line, F.lit("END OF SECTION"))).alias("_ends"), F.max(head).alias("_head"))
+    starts = lines.withColumn("section", number).filter("section is not null").groupBy(*by, "section").agg(F.min(page).alias("start"))
+    # Starts and pages of one file meet; a file has a bounded number of pages.
+    inside = starts.join(per, by).filter((F.col(page) >= F.col("start")) & (F.col(page) < F.col("start") + most))
+    stop = F.when(F.col("_ends"), F.col(page)).when(F.col("_head") & (F.col(page) > F.col("start")), F.col(page) - 1)
+    return inside.groupBy(*by, "section", "start").agg(F.coalesce(F.min(stop), F.max(page)).alias("stop"))
+
+
+def clauses(lines: DataFrame, by: list[str], order: list[str], line: str = "line") -> DataFrame:
+    """by, part, clause, title, ord, n_lines, body, standards (distinct, in order) of the clauses of every part.
+
+    A clause's header counts only where its major number is that of the part it is in.
+    """
+    rows = lines.withColumn("ord", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("_p", _found(F.col(line), PART).cast("int"))
+    run = Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("part", F.last("_p", ignorenulls=True).over(run)).withColumn("_p_ord", F.last(F.when(F.col("_p").isNotNull(), F.col("ord")), ignorenulls=True).over(run)).filter("part is not null")
+    number = _found(F.col(line), CLAUSE)
+    own = F.col("_p").isNull() & (F.substring(number, 1, 1) == F.col("part").cast("string"))
+    inside = Window.partitionBy(*by, "_p_ord").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_c", F.last(F.when(own, F.col("ord")), ignorenulls=True).over(inside)).filter("_c is not null")
+    first = F.col("ord") == F.col("_c")
+    found = rows.groupBy(*by, "part", "_c").agg(F.max(F.when(first, number)).alias("clause"), F.max(F.when(first, _found(F.col(line), CLAUSE, 2))).alias("title"), (F.count("*") - 1).alias("n_lines"), F.array_sort(F.collect_list(F.struct("ord", F.col(line).alias("x")))).alias("_l"))
+    text = F.transform("_l", lambda x: x["x"])
+    return found.select(*by, "part", "clause", "title", F.col("_c").alias("ord"), "n_lines", F.array_join(F.slice(text, 2, F.size(text)), "\n").alias("body"), F.array_distinct(F.regexp_extract_all(F.array_join(text, " "), F.lit(STANDARD), 0)).alias("standards"))
+
+
+def finish_codes(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """by, code, definition, described: the first definition of each code, to the next code; described is its TYPE up to the next field."""
+    heads = F.regexp_extract_all(text, F.lit(FINISH_CODE), 1)
+    bodies = F.slice(F.split(text, FINISH_CODE, -1), 2, F.size(F.split(text, FINISH_CODE, -1)))
+    rows = df.select(*by, F.posexplode(F.arrays_zip(heads.alias("code"), bodies.alias("body"))).alias("_i", "x"))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "x.code").orderBy("_i"))).filter("_n = 1")
+    return first.select(*by, F.col("x.code").alias("code"), strip(F.concat(F.col("x.code"), F.lit(" TYPE:"), F.col("x.body"))).alias("definition"), strip(F.get(F.split("x.body", FINISH_FIELD, 2), 0)).alias("described"))
+
+
+def expansions(codes: DataFrame, abbreviations_: DataFrame, finishes: DataFrame) -> DataFrame:
+    """``codes`` with as_material and as_finish: what a code means, empty if nothing is known.
+
+    abbreviations_ (code, definition) is asked for the code, then for its letters; finishes (code, described, ord) for
+    the shortest text of all codes with the same letters, the first on ties.
+    """
+    prefix = lambda c: F.upper(F.regexp_extract(c, "^[A-Za-z]+", 0))
+    short = finishes.filter("described <> ''").groupBy(prefix(F.col("code")).alias("_p")).agg(F.min_by("described", F.struct(F.length("described"), "ord")).alias("_f"))
+    exact = abbreviations_.select(F.col("code"), F.col("definition").alias("_a"))
+    loose = abbreviations_.select(F.col("code").alias("_p"), F.col("definition").alias("_b"))
+    j = codes.withColumn("_p", prefix(F.col("code"))).join(exact, "code", "left").join(loose, "_p", "left").join(short, "_p", "left")
+    material, finish = F.coalesce(F.nullif("_a", F.lit("")), F.nullif("_b", F.lit(""))), F.col("_f")
+    return j.withColumn("as_material", F.coalesce(material, finish, F.lit(""))).withColumn("as_finish", F.coalesce(finish, material, F.lit(""))).drop("_p", "_a", "_b", "_f")
