@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.text import normalize
+from plumbline.functions.text import is_door_mark, is_room, looks_like_mark, looks_like_tag, normalize, strip
 from plumbline.operators.ordered import first_wins
 
 
@@ -70,6 +70,40 @@ PLUMBING = Schema(
     ("fixture_tag", "description"), (), (), "catalog", "fixture_tag", "mark", "quantity", ("plumbing", "fixture"),
 )
 
+WINDOW = Schema(
+    "window",
+    {
+        "mark": ("mark", "window mark", "window", "type mark"), "window_type": ("type", "window type"), "size": ("size", "size width x height", "dimensions"), "daylight_area": ("daylight area", "glass area", "glazing area"),
+        "ventilation_area": ("ventilation area", "vent area", "operable area"), "notes": ("notes", "remarks", "comments"),
+    },
+    ("mark", "window_type", "size"), (), (), "catalog", "mark", "mark", None, ("window", "schedule"),
+)
+LIGHTING = Schema(
+    "lighting_fixture",
+    {
+        "fixture_tag": ("type", "fixture type", "tag", "mark", "symbol", "fixture"), "description": ("description", "fixture description", "luminaire"), "manufacturer": ("manufacturer", "mfr", "manufacture"),
+        "model": ("model", "catalog", "catalog number", "catalog no"), "lamp": ("lamp", "lamps", "lamp type", "load"), "driver": ("driver", "ballast"), "remarks": ("remarks", "notes", "comments"),
+    },
+    ("fixture_tag", "description"), (), (), "catalog", "fixture_tag", "mark", None, ("lighting", "fixture"),
+)
+CAMERA = Schema(
+    "camera",
+    {
+        "device_number": ("device number", "camera number", "number"), "room_number": ("room number", "room"), "room_name": ("room name", "name"), "camera_type": ("camera type",),
+        "make_model": ("make model", "make & model", "make"), "reference": ("reference detail", "reference"),
+    },
+    ("device_number", "camera_type"), (), (), "instance", "device_number", "free", None, ("camera", "schedule"),
+)
+SECURITY = Schema(
+    "security_device",
+    {
+        "device_number": ("device number", "number"), "room_number": ("room number", "room"), "room_name": ("room name", "name"), "device_type": ("device type",), "make": ("make", "model"),
+        "reference": ("reference detail", "reference"),
+    },
+    ("device_number", "device_type"), (), (), "instance", "device_number", "free", None, ("security", "device"),
+)
+SCHEMAS = (DOOR, FINISH, PLUMBING, WINDOW, LIGHTING, CAMERA, SECURITY)
+
 
 def resolve(cells: DataFrame, schema: Schema, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """(by, col_ord, label, field) of every labelled column (field null if unmapped), and (by, data_start, coverage)."""
@@ -122,3 +156,35 @@ def expand_merged(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
         dealt = F.array_join(F.slice(parts(F.col(c)), (F.col("_i") * (k / n) + 1).cast("int"), F.greatest((k / n).cast("int"), F.lit(1))), " ")
         out = out.withColumn(f"_{c}", F.when((k > 0) & (k % n == 0), dealt).when(F.col("_i") == 0, F.col(c)).otherwise(""))
     return out.drop(*columns, key, "_i").withColumnsRenamed({f"_{c}": c for c in columns} | {"_k": key})
+
+
+def best_table(tables: DataFrame, by: list[str], table: str, least: float = 0.75) -> DataFrame:
+    """Of each group of tables the one with most coverage, the first on ties; none under ``least``."""
+    return first_wins(tables.filter(F.col("coverage") >= least), by, [F.desc("coverage"), F.asc(table)])
+
+
+def select_rows(rows: DataFrame, schema: Schema, by: list[str], least_built_in: int = 5) -> DataFrame:
+    """The data rows of resolved tables (by, row_ord, data_start, mark, filled) by the schema's shape.
+
+    A catalog takes the first row of each tag with two filled cells or more, the cells being tested before the first is
+    taken.  Free keys take every row behind the header with a key.  Others take the built-in grammar of marks if five
+    rows of the table fit it, else any short word with a digit.
+    """
+    key = strip(F.col("mark"))
+    if schema.shape == "catalog":
+        return first_wins(rows.filter(looks_like_tag(key) & (F.col("filled") >= 2)), [*by, "mark"], [F.asc("row_ord")])
+    if schema.grammar == "free":
+        return rows.filter((F.col("row_ord") >= F.col("data_start")) & (key != ""))
+    built_in = is_door_mark(key) if schema.key == "door_mark" else is_room(key)
+    enough = F.count_if(built_in).over(Window.partitionBy(*by)) >= least_built_in
+    return rows.withColumn("_b", enough).filter(F.when(F.col("_b"), built_in).otherwise(looks_like_mark(key))).drop("_b")
+
+
+def table_items(cells: DataFrame, schema: Schema, by: list[str], least: float = 0.75) -> DataFrame:
+    """by, row_ord, mark, attributes of the rows that ``select_rows`` takes from every table that fits the schema."""
+    mapping, tables = resolve(cells, schema, by)
+    named = cells.join(tables.filter(F.col("coverage") >= least).select(*by, "data_start"), by).join(mapping.select(*by, "col_ord", "field"), [*by, "col_ord"], "left")
+    text = strip(F.coalesce("text", F.lit("")))
+    entry = F.when(F.col("field").isNotNull(), F.struct("field", text.alias("text")))
+    rows = named.groupBy(*by, "row_ord", "data_start").agg(F.max(F.when(F.col("field") == schema.key, text)).alias("mark"), F.count_if(text != "").alias("filled"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("attributes"))
+    return select_rows(rows.withColumn("mark", F.coalesce("mark", F.lit(""))), schema, by).select(*by, "row_ord", "mark", "attributes")
