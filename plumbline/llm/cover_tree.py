@@ -4,25 +4,27 @@ Vectors are turned into whole numbers floor(256 x).  All rows, queries and
 candidates together, are dealt to cells around pivots (a bounded set of vectors
 chosen by the hash of their contents); a cell of more than ``CHUNK`` rows is cut
 into chunks by a hash of the id, so a hot vector or cell is spread.  Every chunk is
-indexed by a cover tree: a node has a centre and a covering radius, and its
-children's centres cover its points with half its radius.
+indexed by a cover tree (levels, covering and separation as ``Tree`` says).
 
 Search is in two steps.  Each query first meets the chunk it lies in; the worst
 kth score there bounds what it still needs.  Then blocks of queries, indexed by a
-tree of their own, meet every other chunk: a pair of nodes is pruned when the
-largest inner product that their centres and radii allow is below the worst kth
+tree of their own, meet every other chunk: pairs of nodes are pruned when the
+largest inner product that their points and radii allow is below the worst kth
 score of all queries under the query node.  The chunk as a whole is the first node
 tested, before any row is sent to it.  The best of all chunks are merged.
 
 A stated query set is held against all rows, in blocks of ``QUERY_BLOCK`` queries.
 Vectors that are null or hold a null or non-finite component take no part; rows
 of several lengths are compared within their length.  A null id takes no part.
-Rows that repeat an id are candidates each, but for a query of that id.  Ties go
-to the smaller id.  Empty tables give no rows.
+Rows that repeat an id are candidates each, but for a query of that id; queries that repeat an id are answered as one,
+by the best of all their rows' scores, in which a candidate may come once for each.  Ties go to the smaller id.  A component of 2^18 or more (2^26 in whole numbers) is
+an error.  Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,51 +37,64 @@ from . import shared
 PIVOTS = 32
 CHUNK = 2048
 QUERY_BLOCK = 1024
-LEAF = 48
+LEAF = 16
+#: Leaves whose points are scored at once.
+BATCH = 64
+#: Bytes of chunks' balls that are broadcast at most.
+BROADCAST_BYTES = 64 << 20
+SALTS = 32
+#: Whole components are smaller than this.
+LARGEST = float(1 << 26)
 
 
 class Tree:
-    """A cover tree over the rows of an integer matrix; nodes hold slices of ``order``."""
+    """A cover tree over the rows of an integer matrix; nodes hold slices of ``order``.
+
+    A node of level i covers its points within 2^i of its own point.  Its children are of lower levels, the first has
+    its point, any two are more than 2^(i - 1) apart, and each point is in the nearest child, which is within 2^(i - 1).
+    A node's level is the least that covers its points, so chains of single children are left out; ``LEAF`` points
+    or equal ones are not divided.  Radii are the true largest distances.
+    """
 
     def __init__(self, points: np.ndarray):
         self.points = points.astype(np.float64)
+        self.norms = np.linalg.norm(self.points, axis=1)
         self.order = np.arange(len(points))
-        self.nodes: list[tuple[int, int, float, list[int]]] = []  # centre row, start, radius, children; ends beside
-        self.ends: list[int] = []
+        self.nodes: list[tuple[int, int, int, float, int, np.ndarray]] = []  # point, start, end, radius, level, children
         if len(points):
             self._build(0, len(points), 0)
 
     def _build(self, lo: int, hi: int, centre: int) -> int:
         own = self.order[lo:hi]
         distance = np.linalg.norm(self.points[own] - self.points[centre], axis=1)
-        radius = float(distance.max())
-        me = len(self.nodes)
-        self.nodes.append((centre, lo, radius, []))
-        self.ends.append(hi)
-        if hi - lo <= LEAF or radius == 0:
+        radius, me = float(distance.max()), len(self.nodes)
+        level = math.ceil(math.log2(radius)) if radius else -1
+        self.nodes.append((centre, lo, hi, radius, level, np.zeros(0, np.int64)))
+        if hi - lo <= LEAF or not radius:
             return me
-        # Centres at half the radius: each uncovered point in turn, the farthest first.
-        centres, best, nearest = [centre], distance.copy(), np.zeros(hi - lo, np.int64)
-        while best.max() > radius / 2 and len(centres) < 16:
+        # Every point that no child covers yet becomes one, the farthest first.
+        reach, centres, best, nearest = 2.0 ** (level - 1), [centre], distance.copy(), np.zeros(hi - lo, np.int64)
+        while best.max() > reach:
             far = int(best.argmax())
-            centres.append(int(own[far]))
             d = np.linalg.norm(self.points[own] - self.points[own[far]], axis=1)
             closer = d < best
-            nearest[closer], best = len(centres) - 1, np.minimum(best, d)
-        if len(centres) == 1:
-            return me
-        by = np.argsort(nearest, kind="stable")
-        self.order[lo:hi] = own[by]
+            nearest[closer], best = len(centres), np.minimum(best, d)
+            centres.append(int(own[far]))
+        self.order[lo:hi] = own[np.argsort(nearest, kind="stable")]
         cuts = np.concatenate([[0], np.cumsum(np.bincount(nearest, minlength=len(centres)))]) + lo
-        for c, a, b in zip(centres, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b > a:
-                self.nodes[me][3].append(self._build(a, b, c))
+        children = [self._build(x, y, c) for c, x, y in zip(centres, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if y > x]
+        self.nodes[me] = (centre, lo, hi, radius, level, np.array(children, np.int64))
         return me
 
+    def rows(self, node: int) -> np.ndarray:
+        return self.order[self.nodes[node][1] : self.nodes[node][2]]
+
 
-def upper(q: np.ndarray, q_radius: float, p: np.ndarray, p_radius: float) -> float:
-    """The largest inner product of a point near q and a point near p, rounded up."""
-    return float(q @ p + np.linalg.norm(q) * p_radius + np.linalg.norm(p) * q_radius + q_radius * p_radius) * (1 + 1e-12) + 1e-6
+def upper(q: np.ndarray, q_radius: float, centres: np.ndarray, norms: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """The largest inner products of a point near q and points near each of the centres, rounded up."""
+    size = np.linalg.norm(q)
+    bound = centres @ q + size * radii + norms * q_radius + q_radius * radii
+    return bound + np.abs(bound) * 1e-12 + 1e-6 * (1 + size * norms * 1e-6)
 
 
 class Best:
@@ -110,21 +125,30 @@ def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids:
         return best
     a, b = Tree(queries), Tree(points)
     exact_q, exact_p = queries.astype(np.int64), points.astype(np.int64)
-    stack = [(0, 0)]
+    point, radius = (np.array([n[k] for n in b.nodes]) for k in (0, 3))
+    leaf = np.array([not len(n[5]) for n in b.nodes])
+    bounds = lambda x, ys: upper(a.points[a.nodes[x][0]], a.nodes[x][3], b.points[point[ys]], b.norms[point[ys]], radius[ys])
+    stack = [(0, np.zeros(1, np.int64))]
     while stack:
-        x, y = stack.pop()
-        (qc, ql, qr, qk), (pc, pl, pr, pk) = a.nodes[x], b.nodes[y]
-        rows = a.order[ql : a.ends[x]]
-        if upper(a.points[qc], qr, b.points[pc], pr) < best.need(rows):
+        # A query node meets a set of data nodes; those that no query under it needs go.
+        x, ys = stack.pop()
+        bound, rows = bounds(x, ys), a.rows(x)
+        ys = ys[np.argsort(-bound, kind="stable")][: int((bound >= best.need(rows)).sum())]
+        if not len(ys):
+            continue
+        inner = ys[~leaf[ys]]
+        if len(a.nodes[x][5]) and (not len(inner) or a.nodes[x][3] > radius[inner].max()):
+            stack += [(int(c), ys) for c in a.nodes[x][5]]
+            continue
+        if len(inner):
+            # Leaves wait below the children of the widest nodes, which are looked at first.
+            if leaf[ys].any():
+                stack.append((x, ys[leaf[ys]]))
+            stack.append((x, np.concatenate([b.nodes[y][5] for y in inner.tolist()])))
             continue
-        if not pk and not qk:
-            cols = b.order[pl : b.ends[y]]
+        for at in range(0, len(ys), BATCH):
+            cols = np.concatenate([b.rows(y) for y in ys[at : at + BATCH].tolist()])
             best.add(rows, exact_q[rows] @ exact_p[cols].T, ids[cols])
-        elif pk and (not qk or pr >= qr):
-            bound = [upper(a.points[qc], qr, b.points[b.nodes[c][0]], b.nodes[c][2]) for c in pk]
-            stack += [(x, pk[i]) for i in np.argsort(bound)]
-        else:
-            stack += [(c, y) for c in qk]
     return best
 
 
@@ -145,8 +169,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     clean = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(
         ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     )
-    # Components beyond 2^40 would overflow whole-number scores; none of unit size is near.
-    whole = clean.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256.0)).alias("v"), is_query.alias("is_query")).withColumn("dim", F.size("v"))
+    # A score of n components under 2^26 each fits a long, and the bounds fit doubles; a larger one is an error, not a wrong score.
+    small = lambda x: F.when(F.abs(x) < LARGEST, F.floor(x)).otherwise(F.raise_error(F.lit("a component is too large for whole-number scores")).cast("long"))
+    whole = clean.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: small(x.cast("double") * 256.0)).alias("v"), is_query.alias("is_query")).withColumn("dim", F.size("v"))
     pivots = [(r["dim"], r["v"]) for r in whole.select("dim", "v", F.xxhash64("v", F.lit(3)).alias("h")).distinct().orderBy("h").limit(PIVOTS).collect()]
     held = {d: np.array([v for e, v in pivots if e == d], np.float64) for d in {d for d, _ in pivots}}
 
@@ -178,16 +203,25 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     worst = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     chunks = shared.written(chunked.groupBy(*key).applyInPandas(about, "dim int, cell int, chunk int, centre array<double>, radius double"), "cover-balls")
     queries = chunked.filter("is_query").join(worst, chunked["vec_id"] == worst["query_id"], "left").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), "dim", F.col("cell").alias("qcell"), F.col("chunk").alias("qchunk"), F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor"))
+    blocks_of = queries.groupBy("dim", "qcell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qblocks"))
+    queries = shared.written(queries.join(F.broadcast(blocks_of), ["dim", "qcell"]), "cover-queries")  # a row for each pivot at most
     # The stated query set against all chunks: the bound of the chunk's ball is tested before a query is sent there.
     dot = F.aggregate(F.zip_with("qv", "centre", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate("qv", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     bound = (dot + norm * F.col("radius")) * (1 + 1e-12) + 1e-6
-    sent = queries.join(chunks.withColumnRenamed("cell", "cell").hint("shuffle_hash"), "dim").filter((F.col("cell") != F.col("qcell")) | (F.col("chunk") != F.col("qchunk"))).filter(bound >= F.col("floor"))
-    # A task gets one block of queries and one chunk, so its rows stay bounded.
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id", F.lit(11)), F.lit(blocks)).cast("int")
-    sent = sent.select(F.col("dim").alias("d"), F.col("cell").alias("c"), F.col("chunk").alias("h"), block.alias("b"), "query_id", "qv", "floor")
-    dealt = chunked.select(*key, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
+    # Balls are one row for CHUNK vectors: broadcast if counted small enough, else queries are dealt over salts.
+    dims = 8 * (whole.agg(F.max("dim")).first()[0] or 0) + 48
+    if chunks.count() * dims <= BROADCAST_BYTES:
+        met = queries.repartition(shared.partitions(vectors.sparkSession), "query_id").join(F.broadcast(chunks), "dim")
+    else:
+        copies = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        met = queries.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS))).join(copies, ["dim", "salt"])
+    sent = met.filter((F.col("cell") != F.col("qcell")) | (F.col("chunk") != F.col("qchunk"))).filter(bound >= F.col("floor"))
+    # A task gets one block of queries of one cell and one chunk, so its rows stay bounded; a chunk goes to the blocks that need it.
+    sent = sent.select(F.col("dim").alias("d"), F.col("cell").alias("c"), F.col("chunk").alias("h"), F.col("qcell"), F.pmod(F.xxhash64("query_id", F.lit(11)), F.col("qblocks")).cast("int").alias("b"), "query_id", "qv", "floor")
+    sent = shared.written(sent, "cover-sent")
+    needed = sent.select(F.col("d").alias("dim"), F.col("c").alias("cell"), F.col("h").alias("chunk"), F.col("qcell").alias("qc"), F.col("b").alias("block")).distinct()
+    dealt = chunked.select(*key, "vec_id", "v").join(needed, key)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -195,7 +229,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         points, ids = _matrix(right["v"]), right["vec_id"].to_numpy()
         return _rows(search(_matrix(left["qv"]), left["query_id"].to_numpy(), points, ids, k, left["floor"].to_numpy(float)))
 
-    second = sent.groupBy("d", "c", "h", "b").cogroup(dealt.groupBy(*key, "block")).applyInPandas(meet, _FOUND)
+    second = sent.groupBy("d", "c", "h", "qcell", "b").cogroup(dealt.groupBy(*key, "qc", "block")).applyInPandas(meet, _FOUND)
     both = first.unionByName(second)
     best = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
     return best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
