@@ -23,8 +23,13 @@ from pyspark.sql.window import Window
 from . import shared
 
 SAMPLES = 32
-#: Buckets of ids for the next-document step at most; a window orders one row for each.
+#: Rows of a bucket of ids in the next-document step, and parts that one cut makes at most.
+BUCKET = 64
 MOST_BUCKETS = 16_384
+#: Cuts of a range at most; each makes a part at least a hundredth as wide where it is crowded.
+MOST_CUTS = 12
+#: Rows of three numbers that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def _part(h: Column, at: int, bits: int) -> Column:
@@ -77,21 +82,41 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def in_buckets(df: DataFrame, id_column: str) -> DataFrame:
-    """Add _key (the id, nulls least) and _bucket: equal ranges of ids, for windows over neighbouring ids."""
+    """Add _key (the id, nulls least) and _bucket, the least id that a range of ids may have, for windows over neighbouring ids.
+
+    The ids' whole range is cut into equal parts; a part of more than ``4 * BUCKET`` rows is cut again between its own least
+    and greatest id, and so on, so far-off ids change nothing.  Rows that repeat one id stay together.
+    """
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63)))
-    low, high, n = df.select(F.col(id_column).cast("long").alias("i")).agg(F.min("i"), F.max("i"), F.count("*")).first()
-    buckets = max(1, min(MOST_BUCKETS, (n or 0) // 64))
-    if low is None:
-        return df.withColumn("_key", key).withColumn("_bucket", F.lit(0).cast("long"))
-    step = (high - low) // buckets + 1
-    at = F.floor((F.col(id_column).cast("decimal(20,0)") - F.lit(low)) / F.lit(step))
-    return df.withColumn("_key", key).withColumn("_bucket", F.coalesce(at.cast("long"), F.lit(-1).cast("long")))
+    out = df.withColumn("_key", key).withColumn("_bucket", F.lit(-(1 << 63)))
+    ids = out.filter(F.col(id_column).isNotNull()).select("_key", "_bucket")
+    cuts = []
+    for _ in range(MOST_CUTS):
+        per = ids.groupBy("_bucket").agg(F.count("*").alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high")).filter((F.col("n") > 4 * BUCKET) & (F.col("low") < F.col("high")))
+        step = F.ceil((F.col("high").cast("decimal(20,0)") - F.col("low") + 1) / F.least(F.floor(F.col("n") / BUCKET), F.lit(MOST_BUCKETS))).cast("decimal(20,0)")
+        cut = shared.written(per.select(F.col("_bucket").alias("_old"), "low", step.alias("step")), "print-cuts")
+        if not cut.limit(1).count():
+            break
+        cuts.append(cut)
+        ids = _cut_again(ids, cut)
+    nulls = out.filter(F.col(id_column).isNull())
+    rows = out.filter(F.col(id_column).isNotNull())
+    for cut in cuts:
+        rows = _cut_again(rows, cut)
+    return rows.unionByName(nulls)
+
+
+def _cut_again(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """``rows`` with their _bucket replaced by the part of it they lie in; ``cut`` has a row for 4 * BUCKET rows at most."""
+    part = (F.col("low") + F.floor((F.col("_key").cast("decimal(20,0)") - F.col("low")) / F.col("step")) * F.col("step")).cast("long")
+    near = rows.join(F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut, rows["_bucket"] == cut["_old"], "left")
+    return near.withColumn("_bucket", F.coalesce(part, F.col("_bucket"))).drop("_old", "low", "step")
 
 
 def ring(df: DataFrame) -> DataFrame:
     """_bucket, _top (its greatest _key) and _before: the bucket whose last row the top row follows.
 
-    ``df`` has _bucket and _key; the result has MOST_BUCKETS + 1 rows of three numbers at most.
+    ``df`` has _bucket and _key; the result has a row of three numbers for each bucket.
     """
     tops = df.select("_bucket", "_key").groupBy("_bucket").agg(F.max("_key").alias("_top"))
     down = Window.orderBy(F.desc("_bucket"))
