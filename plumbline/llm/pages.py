@@ -64,25 +64,29 @@ def blocks(source: str) -> list[tuple[str, int, bool, str]]:
     """(node path, dropped by presentation (FULL, SOFT, HARD), in an article, text) of every block with text, in page order."""
     out: list[tuple[str, int, bool, str]] = []
     stack: list[tuple[str, str, int, bool]] = []  # tag, path, dropped, in an article
-    held: list[str] = []
+    held: list[tuple[str, int]] = []  # text, dropped
     at, end = 0, len(source)
 
     def flush() -> None:
         if held:
-            text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
+            path, base, article = next(((p, d, a) for t, p, d, a in reversed(stack) if t in BLOCK), ("", FULL, False))
+            # Inline elements of less importance leave their block's text; if nothing else is in it, they are the block.
+            level = min(max(base, d) for x, d in held if not x.isspace()) if any(not x.isspace() for x, _ in held) else base
+            text = _SPACE.sub(" ", entities.unescape("".join(x for x, d in held if d <= level))).strip()
             held.clear()
             if text:
-                path, dropped, article = next(((p, d, a) for t, p, d, a in reversed(stack) if t in BLOCK), ("", FULL, False))
-                dropped = max(dropped, stack[-1][2] if stack else FULL)
-                out.append((path, dropped, article, text))
+                out.append((path, level, article, text))
+
+    def hold(text: str) -> None:
+        held.append((text, stack[-1][2] if stack else FULL))
 
     while at < end:
         m = _TOKEN.search(source, at)
         if not m:
-            held.append(source[at:])
+            hold(source[at:])
             break
         if m.start() > at:
-            held.append(source[at : m.start()])
+            hold(source[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -92,8 +96,6 @@ def blocks(source: str) -> list[tuple[str, int, bool, str]]:
             if place is not None:
                 if any(t in BLOCK for t, *_ in stack[place:]):
                     flush()
-                elif stack[place][2] > (stack[place - 1][2] if place else FULL):
-                    flush()
                 del stack[place:]
             elif tag in BLOCK:
                 flush()
@@ -103,7 +105,7 @@ def blocks(source: str) -> list[tuple[str, int, bool, str]]:
             at = close.end() if close else (end if tag in ("script", "style", "title", "textarea") else at)
             continue
         if tag in ("br", "hr"):
-            held.append(" ")
+            hold(" ")
             if tag == "hr":
                 flush()
             continue
@@ -128,8 +130,6 @@ def blocks(source: str) -> list[tuple[str, int, bool, str]]:
         own = FULL
         if tag in DROP_TAGS or words & DROP_WORDS and not root and tag not in ("body", "html"):
             own = HARD if tag in DROP_TAGS - SOFT_TAGS or words & DROP_WORDS - SOFT_WORDS else FULL if article else SOFT
-        if own > dropped and tag not in BLOCK:
-            flush()
         stack.append((tag, f"{path}/{label}" if tag in BLOCK else path, max(dropped, own), article or root))
     flush()
     return out
