@@ -33,8 +33,6 @@ from . import shared, tokens
 
 #: Labelled rows that are fitted at most.  The driver gets their distinct feature hashes.
 SAMPLE_ROWS = 8_000
-#: Features with a weight at most; it bounds the broadcast model.
-MOST_FEATURES = 20_000
 GRADES = 3
 DENSE = 8
 #: A document goes when its expected grade is under this.
@@ -122,7 +120,7 @@ def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndar
     return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.stack(dense, axis=1)
 
 
-def select(rows: np.ndarray, hashes: np.ndarray, grades: np.ndarray, least_z: float, most: int) -> np.ndarray:
+def select(rows: np.ndarray, hashes: np.ndarray, grades: np.ndarray, least_z: float) -> np.ndarray:
     """Hashes whose share of texts differs between toxic and other texts, or between poor and good ones."""
     own, at = np.unique(hashes, return_inverse=True)
     n = np.bincount(grades, minlength=GRADES).astype(float)
@@ -136,8 +134,7 @@ def select(rows: np.ndarray, hashes: np.ndarray, grades: np.ndarray, least_z: fl
 
     best = np.maximum(z(seen[:, 0], n[0], seen[:, 1] + seen[:, 2], n[1] + n[2]), z(seen[:, 1], n[1], seen[:, 2], n[2]))
     best[seen.sum(1) < 3] = 0
-    order = np.argsort(-best, kind="stable")[:most]
-    return np.sort(own[order[best[order] >= least_z]])
+    return own[best >= least_z]
 
 
 def fit_arrays(rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, grades: np.ndarray, least_z: float = 4.5, rounds: int = 400, rate: float = 0.1, decay: float = 3e-4) -> Model:
@@ -147,7 +144,7 @@ def fit_arrays(rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, grades:
     theta = np.log(total / (1 - total))
     if (shares > 0).sum() < 2:
         return Model(np.zeros(0, np.uint32), np.zeros(DENSE), theta if len(grades) else np.array([-40.0, -39.0]))
-    own = select(rows, hashes, grades, least_z, MOST_FEATURES)
+    own = select(rows, hashes, grades, least_z)
     at = np.minimum(np.searchsorted(own, hashes), max(len(own) - 1, 0))
     hit = own[at] == hashes if len(own) else np.zeros(len(hashes), bool)
     rows, at = rows[hit], at[hit]
@@ -197,19 +194,19 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     return fit_arrays(np.repeat(np.arange(got.num_rows), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten()).view(np.uint32), np.stack(got["dense"].to_pylist()), np.asarray(got["grade"]).astype(np.int64))
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``documents``, with expected_grade and tail_probability (of the best grade)."""
+def score(documents: DataFrame, model: Model, into: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:
+    """All columns of ``documents``, with the expected grade and the tail probability (of the best grade) as ``into``."""
     names = documents.columns
-    if {"expected_grade", "tail_probability"} & set(names):
-        raise ValueError("expected_grade and tail_probability are names of results")
+    if set(into) & set(names):
+        raise ValueError(f"{' and '.join(into)} are names of results")
 
     def run(batches):
         for batch in tokens.text_batches(batches):
             p = model.grades(model.margin(*features(tokens.column(batch, "text"), model.features)))
             new = [pa.array(p @ np.arange(GRADES)), pa.array(p[:, -1])]
-            yield pa.RecordBatch.from_arrays([tokens.column(batch, c) for c in names] + new, names=[*names, "expected_grade", "tail_probability"])
+            yield pa.RecordBatch.from_arrays([tokens.column(batch, c) for c in names] + new, names=[*names, *into])
 
-    schema = T.StructType([*documents.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType())])
+    schema = T.StructType([*documents.schema.fields, *(T.StructField(c, T.DoubleType()) for c in into)])
     return documents.mapInArrow(run, schema)
 
 
@@ -221,6 +218,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected grade is not under ``LEAST_GRADE``."""
+    """Documents whose expected grade is not under ``LEAST_GRADE``, with their columns as they are.
+
+    Null and empty texts are scored as the empty text; result columns have names of their own and are dropped, whatever
+    the input's names are.  The model is that of the whole ``documents`` table, so a stage before this one changes nothing.
+    """
     model = fit(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
-    return score(docs, model).filter(F.col("expected_grade") >= LEAST_GRADE).select(*docs.columns)
+    grade, tail = shared.free_names(docs, "expected_grade", "tail_probability")
+    return score(docs, model, (grade, tail)).filter(F.col(grade) >= LEAST_GRADE).select(*docs.columns)
