@@ -201,4 +201,5 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all ``docs``, in place of them: null texts are empty, null ids stay null, other columns are not read."""
     return packed(docs, tokens.vocabulary_path())

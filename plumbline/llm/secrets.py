@@ -107,12 +107,13 @@ def listed(spans: Column) -> Column:
 
 def mask(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace every span of ``text`` by its kind in brackets; overlapping spans become one mask."""
-    out = find(df, text, "_spans")
+    (spans,) = shared.free_names(df, "_spans")
+    out = find(df, text, spans)
     t = f"`{text}`"
-    cut = f"""aggregate(_spans, named_struct('at', 0, 'out', cast(array() AS array<string>)),
+    cut = f"""aggregate(`{spans}`, named_struct('at', 0, 'out', cast(array() AS array<string>)),
       (a, s) -> named_struct('at', greatest(a.at, s.end), 'out', IF(s.start < a.at, a.out, concat(a.out, array(substring({t}, a.at + 1, s.start - a.at), concat('[', s.kind, ']'))))),
       a -> concat(array_join(a.out, ''), substring({t}, a.at + 1)))"""
-    return out.withColumn(text, F.expr(f"IF(size(_spans) = 0, {t}, {cut})")).drop("_spans")
+    return out.withColumn(text, F.expr(f"IF(size(`{spans}`) = 0, {t}, {cut})")).drop(spans)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
