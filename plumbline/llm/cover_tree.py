@@ -203,7 +203,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     worst = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     chunks = shared.written(chunked.groupBy(*key).applyInPandas(about, "dim int, cell int, chunk int, centre array<double>, radius double"), "cover-balls")
     queries = chunked.filter("is_query").join(worst, chunked["vec_id"] == worst["query_id"], "left").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), "dim", F.col("cell").alias("qcell"), F.col("chunk").alias("qchunk"), F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor"))
-    blocks_of = queries.groupBy("dim", "qcell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qblocks"))
+    # Cells that lie beside each other share a block while they have few queries; a cell of many has several.
+    blocks_of = queries.groupBy("dim", "qcell").agg(F.count("*").alias("_q"))
+    before = F.sum("_q").over(Window.partitionBy("dim").orderBy("qcell")) - F.col("_q")
+    blocks_of = blocks_of.select("dim", "qcell", F.ceil(F.col("_q") / QUERY_BLOCK).cast("int").alias("qblocks"), F.floor(before / QUERY_BLOCK).alias("qgroup"))
     queries = shared.written(queries.join(F.broadcast(blocks_of), ["dim", "qcell"]), "cover-queries")  # a row for each pivot at most
     # The stated query set against all chunks: the bound of the chunk's ball is tested before a query is sent there.
     dot = F.aggregate(F.zip_with("qv", "centre", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
@@ -218,9 +221,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         met = queries.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS))).join(copies, ["dim", "salt"])
     sent = met.filter((F.col("cell") != F.col("qcell")) | (F.col("chunk") != F.col("qchunk"))).filter(bound >= F.col("floor"))
     # A task gets one block of queries of one cell and one chunk, so its rows stay bounded; a chunk goes to the blocks that need it.
-    sent = sent.select(F.col("dim").alias("d"), F.col("cell").alias("c"), F.col("chunk").alias("h"), F.col("qcell"), F.pmod(F.xxhash64("query_id", F.lit(11)), F.col("qblocks")).cast("int").alias("b"), "query_id", "qv", "floor")
+    sent = sent.select(F.col("dim").alias("d"), F.col("cell").alias("c"), F.col("chunk").alias("h"), "qgroup", F.pmod(F.xxhash64("query_id", F.lit(11)), F.col("qblocks")).cast("int").alias("b"), "query_id", "qv", "floor")
     sent = shared.written(sent, "cover-sent")
-    needed = sent.select(F.col("d").alias("dim"), F.col("c").alias("cell"), F.col("h").alias("chunk"), F.col("qcell").alias("qc"), F.col("b").alias("block")).distinct()
+    needed = sent.select(F.col("d").alias("dim"), F.col("c").alias("cell"), F.col("h").alias("chunk"), F.col("qgroup").alias("qg"), F.col("b").alias("block")).distinct()
     dealt = chunked.select(*key, "vec_id", "v").join(needed, key)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -229,7 +232,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         points, ids = _matrix(right["v"]), right["vec_id"].to_numpy()
         return _rows(search(_matrix(left["qv"]), left["query_id"].to_numpy(), points, ids, k, left["floor"].to_numpy(float)))
 
-    second = sent.groupBy("d", "c", "h", "qcell", "b").cogroup(dealt.groupBy(*key, "qc", "block")).applyInPandas(meet, _FOUND)
+    second = sent.groupBy("d", "c", "h", "qgroup", "b").cogroup(dealt.groupBy(*key, "qg", "block")).applyInPandas(meet, _FOUND)
     both = first.unionByName(second)
     best = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
     return best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
