@@ -88,7 +88,8 @@ def in_buckets(df: DataFrame, id_column: str) -> DataFrame:
     and greatest id, and so on, so far-off ids change nothing.  Rows that repeat one id stay together.
     """
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63)))
-    out = df.withColumn("_key", key).withColumn("_bucket", F.lit(-(1 << 63)))
+    # One bucket to begin with; a number that depends on the row, so that the first cut is an equi-join like the others.
+    out = df.withColumn("_key", key).withColumn("_bucket", F.col("_key").bitwiseAND(F.lit(0).cast("long")))
     ids = out.filter(F.col(id_column).isNotNull()).select("_key", "_bucket")
     cuts = []
     for _ in range(MOST_CUTS):
@@ -99,7 +100,7 @@ def in_buckets(df: DataFrame, id_column: str) -> DataFrame:
             break
         cuts.append(cut)
         ids = _cut_again(ids, cut)
-    nulls = out.filter(F.col(id_column).isNull())
+    nulls = out.filter(F.col(id_column).isNull()).withColumn("_bucket", F.col("_key"))
     rows = out.filter(F.col(id_column).isNotNull())
     for cut in cuts:
         rows = _cut_again(rows, cut)
