@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 
-from . import cover_tree, secrets
+from . import chat, cover_tree, secrets
 from .bpe import op7_bpe
 from .lines import op1_lines
 from .ngram_join import op9_ngram_join
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
+    "op11_chat": chat.op11_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.SQL, "op4_cover_tree": cover_tree.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.SQL, "op4_cover_tree": cover_tree.SQL, "op11_chat": chat.SQL}
