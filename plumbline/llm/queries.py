@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 
-from . import chat, cover_tree, repair, secrets
+from . import chat, cover_tree, repair, secrets, variants
 from .bpe import op7_bpe
 from .lines import op1_lines
 from .ngram_join import op9_ngram_join
@@ -22,7 +22,8 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
     "op11_chat": chat.op11_chat,
+    "op12_variants": variants.op12_variants,
     "op13_repair": repair.op13_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.SQL, "op4_cover_tree": cover_tree.SQL, "op11_chat": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.SQL, "op4_cover_tree": cover_tree.SQL, "op11_chat": chat.SQL, "op12_variants": variants.SQL}
