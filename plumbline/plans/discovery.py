@@ -61,6 +61,23 @@ def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.regions(kinds(spark, sf_dir), ["file_id"], "page_index", "kind", 3)
 
 
+def absorbed_sql(pages: str, large: str = "drawings", small: str = "manual", least: int = 3) -> str:
+    """WITH RECURSIVE parts that end in ``region`` (file_id, kind, page_start, page_end, pages) of ``pages`` (file_id, page_index, kind: d for large pages, m for small ones).
+
+    A file is a string of letters; as long as an inner run is short and its neighbours agree, the first such run takes their letter.
+    """
+    return f"""line AS (SELECT file_id, string_agg(kind, '' ORDER BY page_index) AS s, list(page_index ORDER BY page_index) AS idx FROM {pages} GROUP BY file_id),
+step(file_id, s, idx) AS (SELECT file_id, s, idx FROM line UNION ALL
+ SELECT file_id, array_to_string(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN i = j THEN repeat(left(r[i - 1], 1), length(r[i])) ELSE r[i] END), ''), idx FROM
+ (SELECT *, list_filter(range(2, len(r)), lambda i: length(r[i]) < {least})[1] AS j FROM (SELECT *, regexp_extract_all(s, 'm+|d+') AS r FROM step)) WHERE j IS NOT NULL),
+last_step AS (SELECT file_id, idx, regexp_extract_all(s, 'm+|d+') AS r FROM step WHERE len(list_filter(range(2, len(regexp_extract_all(s, 'm+|d+'))), lambda i: length(regexp_extract_all(s, 'm+|d+')[i]) < {least})) = 0),
+cut AS (SELECT file_id, idx, r[i] AS run, CAST(list_sum(list_transform(r[1:i - 1], lambda x: length(x))) AS BIGINT) AS before FROM (SELECT file_id, idx, r, unnest(range(1, len(r) + 1)) AS i FROM last_step)),
+region AS (SELECT file_id, CASE left(run, 1) WHEN 'd' THEN '{large}' ELSE '{small}' END AS kind, idx[coalesce(before, 0) + 1] AS page_start, idx[coalesce(before, 0) + length(run)] AS page_end, CAST(length(run) AS BIGINT) AS pages FROM cut)"""
+
+
+REGIONS_SQL = f"WITH RECURSIVE page AS (SELECT file_id, page_index, CASE kind WHEN 'large' THEN 'd' ELSE 'm' END AS kind FROM {_KINDS}), {absorbed_sql('page', 'large', 'letter')} SELECT * FROM region"
+
+
 def longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = kinds(spark, sf_dir).withColumn("page_index", F.floor(F.col("page_index") / 20)).filter("kind = 'large'").groupBy("file_id", "page_index").agg(F.sum("n_chars").alias("n_chars"))
     return ordered.longest_run(near, ["file_id"], "page_index", "n_chars")
@@ -99,7 +116,7 @@ SELECT file_id, count(*) FILTER (status = 'found') AS found, count(*) FILTER (st
 
 
 def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with page count, sampled format and a checksum of their pages' checksums."""
+    """Files with page count and format, by the text of sampled pages."""
     p = pages(spark, sf_dir)
     per = p.groupBy("file_id").agg(F.count("*").alias("page_count"), F.max((F.length(X.strip(F.col("text"))) >= 20) & (F.col("page_index") % 10 == 0)).alias("vector"))
     return per.select("file_id", "page_count", F.when(F.col("vector"), "pdf_vector").otherwise("pdf_scanned").alias("doc_format"))
@@ -118,7 +135,7 @@ CHECKSUMS_SQL = "SELECT sha256(text) AS content_sha256, min(doc_id) AS doc_id, c
 
 
 def carried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line with the last line that ended in a colon or mark before it: its running head."""
+    """How many lines stand under each line of fewer than 60 characters, the last such line before them."""
     lines = pages(spark, sf_dir).select("page_index", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     heads = lines.withColumn("head", F.when(F.length("line") < 60, F.col("pos")))
     return ordered.carry(heads, ["page_index"], "pos", "head", "under").groupBy("under").agg(F.count("*").alias("lines"))
@@ -143,6 +160,6 @@ QUERIES = {
     "a6_completeness": completeness, "s9_intake": intake, "d7_content_dedup": checksums, "w9_carried_heads": carried, "p1_shard_windows": shard_windows,
 }
 ORACLE_SQL = {
-    "f1_page_profile": PROFILE_SQL, "f3_anchor_hits": HITS_SQL, "w1_page_runs": f"SELECT * FROM {_RUNS}", "w5_longest_run": LONGEST_SQL, "j1_located_pages": LOCATED_SQL,
+    "f1_page_profile": PROFILE_SQL, "f3_anchor_hits": HITS_SQL, "w1_page_runs": f"SELECT * FROM {_RUNS}", "w3_regions": REGIONS_SQL, "w5_longest_run": LONGEST_SQL, "j1_located_pages": LOCATED_SQL,
     "a6_completeness": COMPLETENESS_SQL, "s9_intake": INTAKE_SQL, "d7_content_dedup": CHECKSUMS_SQL, "w9_carried_heads": CARRIED_SQL, "p1_shard_windows": WINDOWS_SQL,
 }

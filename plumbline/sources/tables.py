@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +35,11 @@ def lines(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 def words(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, pos, word of every word between white space."""
     return df.select(*keys, F.posexplode(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("pos", "word"))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to a fresh table in the shared folder and read it again: what is used several times is made once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
