@@ -91,9 +91,9 @@ m AS (SELECT * FROM (VALUES {_pairs(MATERIALS)}) v(code, section)), f AS (SELECT
 ab AS (SELECT * FROM (VALUES {', '.join(map(str, ABBREVIATIONS))}) v(code, definition) WHERE code IN (SELECT string_split(code, ' ')[1] FROM m)),
 used AS (SELECT mark, material AS code, 'DOOR_SPECIFIED_IN' AS rel, 0 AS place FROM door UNION ALL SELECT mark, frame, 'FRAME_SPECIFIED_IN', 1 FROM door),
 linked AS (SELECT u.*, m.section FROM used u JOIN m ON m.code = u.code JOIN sec s ON s.section = m.section),
-cells AS (SELECT DISTINCT room, unnest(regexp_extract_all(concat_ws(' ', floor, base, wall, ceiling), '[A-Z]{{1,4}}-\d+[A-Z]?')) AS code FROM room),
+cells AS (SELECT DISTINCT room, unnest(regexp_extract_all(concat_ws(' ', floor, base, wall, ceiling), '[A-Z]{{1,4}}-\\d+[A-Z]?')) AS code FROM room),
 coded AS (SELECT c.room, c.code, s.section FROM cells c LEFT JOIN f ON f.letters = regexp_extract(code, '^[A-Z]+') LEFT JOIN sec s ON s.section = f.section),
-located AS (SELECT *, CASE WHEN regexp_matches(mark, '^[NS]\d{{3}}') THEN substr(mark, 1, 4) ELSE mark END AS at_room FROM door),
+located AS (SELECT *, CASE WHEN regexp_matches(mark, '^[NS]\\d{{3}}') THEN substr(mark, 1, 4) ELSE mark END AS at_room FROM door),
 lost AS (SELECT 'door' AS node_type, mark AS key, string_agg(code, ',' ORDER BY place, code) AS codes FROM used u WHERE code NOT IN ('', '(E)') AND NOT EXISTS (SELECT 1 FROM linked l WHERE l.mark = u.mark AND l.place = u.place) GROUP BY 1, 2
  UNION ALL SELECT 'room', room, string_agg(code, ',' ORDER BY code) FROM coded WHERE section IS NULL GROUP BY 1, 2),
 raw AS (SELECT 'section' AS node_type, section AS key, 'division=' || substr(section, 1, 2) || ';title=' || title AS a, '' AS z, 1.0::DOUBLE AS confidence FROM sec
