@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from plumbline.operators.ordered import first_wins, top
 
 ORDER = ["turn", "block_ord"]
+# States of a step that need no more work.
+TERMINAL = ("done", "blocked")
 
 
 def without_orphans(blocks: DataFrame) -> DataFrame:
@@ -59,8 +61,9 @@ def last_text(blocks: DataFrame) -> DataFrame:
 
 
 def plan_ready(steps: DataFrame, conditions: DataFrame) -> DataFrame:
-    """plan_id, ready, open: a plan is ready when every step is done or skipped and every condition holds."""
-    s = steps.groupBy("plan_id").agg(F.min(F.col("status").isin("done", "skipped")).alias("_s"), F.array_sort(F.collect_list(F.when(~F.col("status").isin("done", "skipped"), F.col("step")))).alias("open"))
+    """plan_id, ready, open: a plan is ready when every step is done or blocked and every condition holds."""
+    ended = F.col("status").isin(*TERMINAL)
+    s = steps.groupBy("plan_id").agg(F.min(ended).alias("_s"), F.array_sort(F.collect_list(F.when(~ended, F.col("step")))).alias("open"))
     c = conditions.groupBy("plan_id").agg(F.min("satisfied").alias("_c"))
     return s.join(c, "plan_id", "left").select("plan_id", (F.col("_s") & F.coalesce("_c", F.lit(True))).alias("ready"), "open")
 
@@ -71,3 +74,83 @@ def decide(calls: DataFrame, rules: DataFrame, interactive: bool = False) -> Dat
     j = calls.select("call_id", F.explode_outer("effects").alias("effect")).join(rules.withColumn("_k", rank).select("effect", "_k"), "effect", "left")
     worst = j.groupBy("call_id").agg(F.max(F.coalesce("_k", F.lit(1))).alias("_k"))
     return worst.select("call_id", F.when(F.col("_k") == 0, "allow").when((F.col("_k") == 1) & F.lit(interactive), "ask").otherwise("deny").alias("decision"))
+
+
+def pinned_top(scored: DataFrame, pinned: DataFrame, by: list[str], item: str, k: int) -> DataFrame:
+    """by, item, score, rank: all ``pinned`` (by, item), then the best of ``scored`` (by, item, score) until there are k.
+
+    Pinned items come whatever they score, by their score; others need a score over zero.  Scores are ranked once.
+    """
+    whole = Window.partitionBy(*by)
+    both = scored.join(pinned.select(*by, item).distinct().withColumn("_p", F.lit(1)), [*by, item], "full").withColumn("_p", F.coalesce("_p", F.lit(0)))
+    at = whole.orderBy(F.desc("_p"), F.desc_nulls_last("score"), F.asc(item))
+    ranked = both.filter("_p = 1 OR score > 0").withColumn("rank", F.row_number().over(at)).withColumn("_n", F.sum("_p").over(whole))
+    return ranked.filter(F.col("rank") <= F.greatest(F.col("_n"), F.lit(k))).select(*by, item, "score", "rank")
+
+
+def allowed(tools: DataFrame, wanted: DataFrame, never: DataFrame) -> DataFrame:
+    """agent, tool, error: the tools (tool) that an agent may have of those it wants (agent, tool), none of ``never`` (tool).
+
+    An agent with none of them has one row with an error and no tool.
+    """
+    free = tools.select("tool").distinct().join(never.select("tool"), "tool", "left_anti")
+    held = wanted.select("agent", "tool").distinct().join(free, "tool").select("agent", "tool", F.lit(None).cast("string").alias("error"))
+    empty = wanted.select("agent").distinct().join(held.select("agent"), "agent", "left_anti")
+    return held.unionByName(empty.select("agent", F.lit(None).cast("string").alias("tool"), F.lit("none of the wanted tools is available").alias("error")))
+
+
+def verdicts(answers: DataFrame) -> DataFrame:
+    """symbol_id, verified, agrees, verified_count, confidence, notes of a verifier's ``answers`` (symbol_id, failed, count, agrees, confidence, notes; all text but the first two).
+
+    A failed call is not verified and says so.  A count that is no whole number is null, and then nothing agrees; a
+    confidence is put between 0 and 1.
+    """
+    count = F.when(F.col("count").rlike(r"^\s*[+-]?\d+\s*$"), F.trim("count")).try_cast("int")
+    sure = F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0))
+    bad = F.col("failed")
+    return answers.select(
+        "symbol_id", (~bad).alias("verified"), (~bad & count.isNotNull() & F.coalesce(F.col("agrees") == "true", F.lit(False))).alias("agrees"), F.when(~bad, count).alias("verified_count"),
+        F.when(bad, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure))).alias("confidence"), F.when(bad, "verifier_error").otherwise(F.coalesce("notes", F.lit(""))).alias("notes"),
+    )
+
+
+def open_items(steps: DataFrame, conditions: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+    """plan_id, note of the plans that are not complete: a line for each step and condition still open, in order."""
+    s = steps.filter(~F.col("status").isin(*terminal)).select("plan_id", F.lit(0).alias("o"), F.col("step").alias("i"), F.concat(F.lit("  - step not done: "), "description").alias("line"))
+    c = conditions.filter("NOT satisfied").select("plan_id", F.lit(1).alias("o"), F.col("condition").alias("i"), F.concat(F.lit("  - postcondition not verified: "), "description").alias("line"))
+    listed = s.unionByName(c).groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("o", "i", "line"))).alias("_l"))
+    return listed.select("plan_id", F.array_join(F.concat(F.array(F.lit("[stopped: plan not verified complete]")), F.transform("_l", lambda x: x["line"])), "\n").alias("note"))
+
+
+# How a step's status is marked.
+MARKS = {"pending": "[ ]", "in_progress": "[.]", "done": "[x]", "blocked": "[!]"}
+
+
+def plan_text(plans: DataFrame, steps: DataFrame, conditions: DataFrame) -> DataFrame:
+    """plan_id, text of every plan: its objective, its numbered steps and its conditions, each with its evidence."""
+    mark = F.try_element_at(F.create_map(*(F.lit(x) for kv in MARKS.items() for x in kv)), F.col("status"))
+    more = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"\n     {c}: "), c))
+    line = lambda i, m, *rest: F.concat_ws("", F.concat(F.col(i).cast("string"), F.lit(". "), m, F.lit(" "), "description"), *rest)
+    s = steps.select("plan_id", F.col("step").alias("i"), line("step", mark, more("evidence"), more("notes")).alias("line"))
+    c = conditions.select("plan_id", F.col("condition").alias("i"), line("condition", F.when(F.col("satisfied"), "[x]").otherwise("[ ]"), more("evidence")).alias("line"))
+    of = lambda df, name: df.groupBy("plan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: F.concat(F.lit("\n"), x["line"])), "").alias(name))
+    j = plans.join(of(s, "_s"), "plan_id", "left").join(of(c, "_c"), "plan_id", "left")
+    return j.select("plan_id", F.concat(F.lit("# Plan: "), "objective", F.lit("\n\n## Steps"), F.coalesce("_s", F.lit("")), F.lit("\n\n## Postconditions"), F.coalesce("_c", F.lit(""))).alias("text"))
+
+
+def decide_in_session(calls: DataFrame, rules: DataFrame, answers: DataFrame) -> DataFrame:
+    """call_id, decision, reason of calls (session, at, call_id, name, args, effects): what a user allowed once stays allowed in the session.
+
+    ``answers`` (call_id, answer) is what the user says where a call is asked for; no answer is a denial.  A call is the
+    same as an earlier one by its name and its arguments in canonical form (``args`` is a map).
+    """
+    asked = decide(calls, rules, True)
+    key = F.struct("session", "name", F.array_sort(F.map_entries(F.coalesce("args", F.create_map().cast("map<string,string>")))).alias("args"))
+    j = calls.select("session", "at", "call_id", key.alias("_k")).join(asked, "call_id").join(answers.select("call_id", "answer"), "call_id", "left")
+    said = F.when((F.col("decision") == "ask") & (F.col("answer") == "allow"), F.col("at"))
+    first = F.min(said).over(Window.partitionBy("_k"))
+    before = first.isNotNull() & (F.col("at") > first)
+    out = j.withColumn("_before", before)
+    decision = F.when(F.col("_before"), "allow").when(F.col("decision") != "ask", F.col("decision")).otherwise(F.coalesce("answer", F.lit("deny")))
+    reason = F.when(F.col("_before"), "approved before").when(F.col("decision") != "ask", "rule").when(F.col("answer").isNull(), "nobody to ask").otherwise("user")
+    return out.select("call_id", decision.alias("decision"), reason.alias("reason"))

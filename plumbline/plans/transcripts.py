@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.text import normalize
 from plumbline.operators import joins, ordered
+from plumbline.sources.tables import stored
 
 K1, B = 1.5, 0.75
 #: Shares into which the documents of a term are dealt.
@@ -88,28 +89,35 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATUS_SQL = "SELECT event_type, count(*) AS n, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(DISTINCT user_id) AS users FROM events GROUP BY event_type"
 
 
-def bm25(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    """The k best documents for each benchmark text by Okapi BM25 (k1 = 1.5, b = 0.75); scores of zero or less are dropped.
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, doc_id, score of documents with a word of a benchmark text, by Okapi BM25 (k1 = 1.5, b = 0.75); not scores of zero or less.
 
-    Every query token counts, as often as it occurs.
+    Every query token counts, as often as it occurs.  Documents are read and split once: the terms that queries have are
+    written with their counts and the document's length, and an empty term stands for the document itself.
     """
-    words = lambda df, i: df.select(i, F.explode(F.split(normalize(F.col("text")), " ")).alias("term")).filter("term <> ''")
-    docs = _t(spark, sf_dir, "documents")
-    size = docs.select("doc_id", F.size(F.filter(F.split(normalize(F.col("text")), " "), lambda w: w != "")).alias("dl"))
-    total = size.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    query = words(_t(spark, sf_dir, "benchmark"), "item_id").groupBy("item_id", "term").agg(F.count("*").alias("times"))
-    asked = query.select("term").distinct()
+    split = lambda c: F.filter(F.split(normalize(F.col(c)), " "), lambda w: w != "")
+    asked_of = _t(spark, sf_dir, "benchmark").select("item_id", F.explode(split("text")).alias("term"))
+    query = asked_of.groupBy("item_id", "term").agg(F.count("*").alias("times"))
+    asked = query.select("term").unionByName(spark.createDataFrame([("",)], "term string")).distinct()
     # A term that no query has is dropped before anything is shuffled, if the asked terms are few enough to broadcast.
     asked = F.broadcast(asked) if asked.count() <= MOST_TERMS else asked
-    tf = words(docs, "doc_id").join(asked, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    words = _t(spark, sf_dir, "documents").select("doc_id", split("text").alias("w"))
+    words = words.select("doc_id", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
+    counted = stored(words.join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "bm25-tf")
+    total = counted.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    tf = counted.filter("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # total is one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     # A frequent term's documents and queries meet in SALTS tasks: documents are dealt, queries copied.
-    weights = tf.join(df, "term").join(size, "doc_id").select("term", "doc_id", weight.alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    weights = tf.join(df, "term").select("term", "doc_id", weight.alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     dealt = query.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    scored = dealt.join(weights, ["term", "salt"]).groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("times") * F.col("w")), 9).alias("score")).filter("score > 0")
-    return ordered.top(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], k).select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    return dealt.join(weights, ["term", "salt"]).groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("times") * F.col("w")), 9).alias("score")).filter("score > 0")
+
+
+def bm25(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """The k best documents for each benchmark text."""
+    return ordered.top(scores(spark, sf_dir), ["item_id"], [F.desc("score"), F.asc("doc_id")], k).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 BM25_SQL = f"""WITH norm AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents), tok AS (SELECT doc_id, unnest(w) AS term FROM norm),
@@ -121,7 +129,7 @@ SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OV
 
 
 def best_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored match: the first words of each benchmark text against part names and types by shared prefixes."""
+    """Scored match: the names of nations against those of regions, by shared beginnings of words."""
     toks = lambda c: F.filter(F.split(normalize(c), " "), lambda w: w != "")
     q = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), toks(F.col("n_name")).alias("tokens"))
     t = _t(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("title_id"), toks(F.concat_ws(" ", "r_name", F.lit("nation"))).alias("tokens"))

@@ -55,7 +55,7 @@ def test_transcripts(spark):
 
 
 def test_plan_and_permissions(spark):
-    steps = spark.createDataFrame([(1, "a", "done"), (1, "b", "skipped"), (2, "a", "open")], "plan_id int, step string, status string")
+    steps = spark.createDataFrame([(1, "a", "done"), (1, "b", "blocked"), (2, "a", "open")], "plan_id int, step string, status string")
     conditions = spark.createDataFrame([(1, True)], "plan_id int, satisfied boolean")
     assert {r.plan_id: (r.ready, r.open) for r in T.plan_ready(steps, conditions).collect()} == {1: (True, []), 2: (False, ["a"])}
     calls = spark.createDataFrame([("x", ["read"]), ("y", ["read", "write"]), ("z", [])], "call_id string, effects array<string>")
