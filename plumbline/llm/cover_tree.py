@@ -17,8 +17,9 @@ A stated query set is held against all rows, in blocks of ``QUERY_BLOCK`` querie
 Vectors that are null or hold a null or non-finite component take no part; rows
 of several lengths are compared within their length.  A null id takes no part.
 Rows that repeat an id are candidates each, but for a query of that id; queries that repeat an id are answered as one,
-by the best of all their rows' scores, in which a candidate may come once for each.  Ties go to the smaller id.  A component of 2^18 or more (2^26 in whole numbers) is
-an error.  Empty tables give no rows.
+by the best of all their rows' scores, in which a candidate may come once for each.  Ties go to the smaller id.
+Scores are compared as whole numbers; where products may pass a long, they are Python's integers.  A component of
+2^54 or more, or a score among the best that does not fit a long, is an error.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -43,8 +44,10 @@ BATCH = 64
 #: Bytes of chunks' balls that are broadcast at most.
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
-#: Whole components are smaller than this.
-LARGEST = float(1 << 26)
+#: Whole components are smaller than this; numpy multiplies as long as no sum of products can reach LONG.
+LARGEST, LONG = float(1 << 62), 1 << 63
+#: No score is below this.
+NONE = -LONG
 
 
 class Tree:
@@ -94,37 +97,67 @@ def upper(q: np.ndarray, q_radius: float, centres: np.ndarray, norms: np.ndarray
     """The largest inner products of a point near q and points near each of the centres, rounded up."""
     size = np.linalg.norm(q)
     bound = centres @ q + size * radii + norms * q_radius + q_radius * radii
-    return bound + np.abs(bound) * 1e-12 + 1e-6 * (1 + size * norms * 1e-6)
+    return bound + ((size + q_radius) * (norms + radii)) * 1e-12 + 1e-6
 
 
 class Best:
-    """The k best (score, id) of every query, ties to the smaller id."""
+    """The k best (score, id) of every query, ties to the smaller id; scores are whole numbers throughout."""
 
     def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray):
         self.ids, self.k = ids, k
         self.score = np.full((len(ids), k), np.iinfo(np.int64).min)
         self.other = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.floor = floor.astype(np.float64)  # what a candidate must reach, from elsewhere
+        self.floor = floor  # what a candidate must reach, from elsewhere
 
     def need(self, rows: np.ndarray) -> float:
-        kth = self.score[rows, -1].astype(np.float64)
-        return float(np.maximum(kth, self.floor[rows]).min())
+        """The least score that any of ``rows`` still needs; bounds are rounded up by more than this is."""
+        return float(np.maximum(self.score[rows, -1], self.floor[rows]).min())
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         score = np.concatenate([self.score[rows], np.where(self.ids[rows][:, None] == ids[None, :], np.iinfo(np.int64).min, scores)], axis=1)
         other = np.concatenate([self.other[rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
         other = np.where(score == np.iinfo(np.int64).min, np.iinfo(np.int64).max, other)
-        order = np.lexsort((other, -score.astype(np.float64)), axis=1)[:, : self.k]
+        # The complement turns the order around, and every long has one.
+        order = np.lexsort((other, ~score), axis=1)[:, : self.k]
         self.score[rows], self.other[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(other, order, 1)
 
+    def filled(self) -> np.ndarray:
+        return self.score > np.iinfo(np.int64).min
+
+
+class WideBest(Best):
+    """The same for scores of any size, as Python's integers; None stands for no candidate yet."""
+
+    def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray):
+        super().__init__(ids, k, floor)
+        self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
+
+    def need(self, rows: np.ndarray) -> float:
+        return min(max(float(-self.best[r][-1][0]) if len(self.best[r]) == self.k else -math.inf, -math.inf if self.floor[r] == NONE else float(self.floor[r])) for r in rows.tolist())
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        for r, line in zip(rows.tolist(), scores.tolist(), strict=True):
+            own = self.ids[r]
+            self.best[r] = sorted([*self.best[r], *((-s, i) for s, i in zip(line, ids.tolist(), strict=True) if i != own)])[: self.k]
+
+    def filled(self) -> np.ndarray:
+        for r, found in enumerate(self.best):
+            if any(not -LONG <= -s < LONG for s, _ in found):
+                raise OverflowError("a score does not fit a long")
+            for j, (s, i) in enumerate(found):
+                self.score[r, j], self.other[r, j] = -s, i
+        return np.arange(self.k)[None, :] < np.array([len(x) for x in self.best], np.int64)[:, None]
+
 
 def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> Best:
     """Dual-tree search of all queries among all points."""
-    best = Best(query_ids, k, floor)
     if not len(queries) or not len(points):
-        return best
+        return Best(query_ids, k, floor)
+    most = int(np.abs(queries).max(initial=0)) * int(np.abs(points).max(initial=0)) * queries.shape[1]
+    wide = most >= LONG
+    best = (WideBest if wide else Best)(query_ids, k, floor)
     a, b = Tree(queries), Tree(points)
-    exact_q, exact_p = queries.astype(np.int64), points.astype(np.int64)
+    exact_q, exact_p = (x.astype(object if wide else np.int64) for x in (queries, points))
     point, radius = (np.array([n[k] for n in b.nodes]) for k in (0, 3))
     leaf = np.array([not len(n[5]) for n in b.nodes])
     bounds = lambda x, ys: upper(a.points[a.nodes[x][0]], a.nodes[x][3], b.points[point[ys]], b.norms[point[ys]], radius[ys])
@@ -160,7 +193,7 @@ _FOUND = "query_id long, vec_id long, score long"
 
 
 def _rows(best: Best) -> pd.DataFrame:
-    keep = best.score > np.iinfo(np.int64).min
+    keep = best.filled()
     return pd.DataFrame({"query_id": np.repeat(best.ids, best.k)[keep.ravel()], "vec_id": best.other[keep], "score": best.score[keep]})
 
 
@@ -169,7 +202,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     clean = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(
         ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     )
-    # A score of n components under 2^26 each fits a long, and the bounds fit doubles; a larger one is an error, not a wrong score.
+    # A larger component is an error, not a wrong score.
     small = lambda x: F.when(F.abs(x) < LARGEST, F.floor(x)).otherwise(F.raise_error(F.lit("a component is too large for whole-number scores")).cast("long"))
     whole = clean.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: small(x.cast("double") * 256.0)).alias("v"), is_query.alias("is_query")).withColumn("dim", F.size("v"))
     pivots = [(r["dim"], r["v"]) for r in whole.select("dim", "v", F.xxhash64("v", F.lit(3)).alias("h")).distinct().orderBy("h").limit(PIVOTS).collect()]
@@ -192,7 +225,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
         points, ids, q = _matrix(pdf["v"]), pdf["vec_id"].to_numpy(), pdf["is_query"].to_numpy(dtype=bool)
-        return _rows(search(points[q], ids[q], points, ids, k, np.full(int(q.sum()), -np.inf)))
+        return _rows(search(points[q], ids[q], points, ids, k, np.full(int(q.sum()), NONE)))
 
     def about(pdf: pd.DataFrame) -> pd.DataFrame:
         points = _matrix(pdf["v"]).astype(np.float64)
@@ -202,16 +235,17 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     first = shared.written(chunked.groupBy(*key).applyInPandas(own, _FOUND), "cover-first")
     worst = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     chunks = shared.written(chunked.groupBy(*key).applyInPandas(about, "dim int, cell int, chunk int, centre array<double>, radius double"), "cover-balls")
-    queries = chunked.filter("is_query").join(worst, chunked["vec_id"] == worst["query_id"], "left").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), "dim", F.col("cell").alias("qcell"), F.col("chunk").alias("qchunk"), F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor"))
+    queries = chunked.filter("is_query").join(worst, chunked["vec_id"] == worst["query_id"], "left").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), "dim", F.col("cell").alias("qcell"), F.col("chunk").alias("qchunk"), F.coalesce("floor", F.lit(NONE)).alias("floor"))
     # Cells that lie beside each other share a block while they have few queries; a cell of many has several.
     blocks_of = queries.groupBy("dim", "qcell").agg(F.count("*").alias("_q"))
     before = F.sum("_q").over(Window.partitionBy("dim").orderBy("qcell")) - F.col("_q")
     blocks_of = blocks_of.select("dim", "qcell", F.ceil(F.col("_q") / QUERY_BLOCK).cast("int").alias("qblocks"), F.floor(before / QUERY_BLOCK).alias("qgroup"))
     queries = shared.written(queries.join(F.broadcast(blocks_of), ["dim", "qcell"]), "cover-queries")  # a row for each pivot at most
     # The stated query set against all chunks: the bound of the chunk's ball is tested before a query is sent there.
-    dot = F.aggregate(F.zip_with("qv", "centre", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate("qv", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    bound = (dot + norm * F.col("radius")) * (1 + 1e-12) + 1e-6
+    dot = F.aggregate(F.zip_with("qv", "centre", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    # What doubles lose in the sum is in proportion to the lengths, not to the bound.
+    bound = dot + norm("qv") * F.col("radius") + norm("qv") * (norm("centre") + F.col("radius")) * 1e-12 + 1e-6
     # Balls are one row for CHUNK vectors: broadcast if counted small enough, else queries are dealt over salts.
     dims = 8 * (whole.agg(F.max("dim")).first()[0] or 0) + 48
     if chunks.count() * dims <= BROADCAST_BYTES:
@@ -230,7 +264,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         points, ids = _matrix(right["v"]), right["vec_id"].to_numpy()
-        return _rows(search(_matrix(left["qv"]), left["query_id"].to_numpy(), points, ids, k, left["floor"].to_numpy(float)))
+        return _rows(search(_matrix(left["qv"]), left["query_id"].to_numpy(), points, ids, k, left["floor"].to_numpy(np.int64)))
 
     second = sent.groupBy("d", "c", "h", "qgroup", "b").cogroup(dealt.groupBy(*key, "qg", "block")).applyInPandas(meet, _FOUND)
     both = first.unionByName(second)
