@@ -6,14 +6,15 @@ pages of one host are merged: for each node, how many pages have it and how its
 contents are spread over them.  A node's importance has two parts.
 
 * Presentation: elements whose tag, or a whole class, id or role, says menu, footer,
-  advert, script, style or comments have none (``HARD``).  Forms, headers, sidebars, notices and the like
+  advert, script, style or comments have none (``HARD``), an ``article`` whose class says comment too.  Forms, headers, sidebars, notices and the like
   have little (``SOFT``): articles inside them and such elements inside articles count in full, and where
   they have more text than all else of the page, they count too.  An ``article`` or
   ``main`` is a prior: its branch alone counts if it has at least half of the text left.
 * Content: the entropy of the node's contents over the host's pages, in units of
   the largest possible one, and the information of each single content, in the same units.  A node or
   content that at least ``LEAST_PAGES`` pages share and whose importance is under
-  ``LEAST_IMPORTANCE`` is a site's repeated block, inside articles too.
+  ``LEAST_IMPORTANCE`` is a site's repeated block, inside articles too.  A heading in
+  an article has the importance of the blocks below it, up to the next heading.
 
 Branches of low importance are removed from each page; if nothing would be left,
 only presentation counts, and where that leaves nothing either, the branch with most text.  White space in a block becomes one blank, blocks are
@@ -55,6 +56,10 @@ FULL, SOFT, HARD = 0, 1, 2
 CLOSES = {"p": frozenset("p".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 INLINE_KEEPS_P = frozenset("a abbr b bdi bdo big br button cite code data dfn em font i img input kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 
+HEADING = re.compile(r"h[1-6](?:\.|$)")
+# Words by which an article element is a reader's comment.
+COMMENT_WORDS = frozenset("comment comments commentlist respond replies reply".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
@@ -124,7 +129,7 @@ def blocks(source: str) -> list[tuple[str, int, bool, str]]:
         label = tag + "".join(f".{w}" for w in sorted({*(names.get("class") or "").lower().split(), *(names.get("id") or "").lower().split()}))
         words = {w for v in (names.get("class"), names.get("id"), names.get("role")) if v for w in v.lower().split()}
         path, dropped, article = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else ("", FULL, False)
-        root = tag in ("article", "main")
+        root = tag in ("article", "main") and not words & COMMENT_WORDS
         if root and dropped == SOFT:
             dropped = FULL
         own = FULL
@@ -156,12 +161,28 @@ def best_branch(found: list[tuple[str, int, bool, str]]) -> list[tuple[str, int,
     return [b for b in found if b[0].rpartition("/")[0] == best]
 
 
+def important(found: list[tuple[str, int, bool, str]], low: frozenset[str]) -> list[bool]:
+    """Whether each block's node and content have importance; a heading in an article has that of what stands below it.
+
+    So a heading that all articles of a site have stays where its section differs, and goes with a section that repeats.
+    """
+    out = [b[0] not in low and f"{b[0]}\n{content(b[3])}" not in low for b in found]
+    below: bool | None = None
+    for i in range(len(found) - 1, -1, -1):
+        path, _, article, _ = found[i]
+        if article and HEADING.match(path.rpartition("/")[2]):
+            out[i], below = out[i] or bool(below), None
+        else:
+            below = bool(below) or out[i] if article else None
+    return out
+
+
 def main_text(found: list[tuple[str, int, bool, str]], low: frozenset[str]) -> str:
     """The blocks that stay, given the host's nodes, and contents of nodes, of low content importance."""
     size = lambda level: sum(len(b[3]) for b in found if b[1] == level)
     most = SOFT if size(SOFT) > size(FULL) else FULL
     kept = [b for b in found if b[1] <= most] or best_branch(found)
-    kept = [b for b in kept if b[0] not in low and f"{b[0]}\n{content(b[3])}" not in low] or kept
+    kept = [b for b, stays in zip(kept, important(kept, low), strict=True) if stays] or kept
     inside = [b for b in kept if b[2]]
     if 2 * sum(len(b[3]) for b in inside) >= sum(len(b[3]) for b in kept):
         kept = inside
