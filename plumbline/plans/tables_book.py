@@ -5,8 +5,6 @@ Ten orders are a table, one of the seven kinds by its number: a title row, a hea
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,20 +46,10 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.unionByName(heads).join(made, "table_id")
 
 
-def _each(spark: SparkSession, sf_dir: str, of) -> DataFrame:
-    """``of(cells of a kind, its schema)`` for the seven schemas, together."""
-    c = cells(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [of(c.filter(F.col("kind") == s.name).drop("kind"), s) for s in R.SCHEMAS])
-
-
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The field of every column, and the share of the schema's core fields that its table has."""
-
-    def of(c: DataFrame, s: R.Schema) -> DataFrame:
-        mapping, tables = R.resolve(c, s, ["table_id"])
-        return mapping.join(tables, "table_id").select("table_id", F.lit(s.name).alias("kind"), "col_ord", "field", "data_start", "coverage")
-
-    return _each(spark, sf_dir, of)
+    tables = R.resolved(R.table_rows(cells(spark, sf_dir), ["table_id"]), ["table_id"])
+    return tables.select("table_id", "kind", "data_start", "coverage", F.inline("columns")).drop("label")
 
 
 _VALUES_SQL = "(VALUES " + ", ".join(f"({i}, '{k}', {j}, {repr(f) if f else 'NULL'})" for i, (k, (_, fields)) in enumerate(_HEADERS.items()) for j, f in enumerate(fields)) + ") v(n, kind, col_ord, field)"
@@ -70,16 +58,9 @@ COLUMNS_SQL = f"SELECT table_id, kind, col_ord, field, 2 AS data_start, 1.0::DOU
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of all schedules: mark, quantity, unit and basis, with the number of attributes that are filled."""
-
-    def of(c: DataFrame, s: R.Schema) -> DataFrame:
-        rows = R.table_items(c, s, ["table_id"])
-        q = F.nullif(F.regexp_extract(F.coalesce(F.try_element_at("attributes", F.lit(s.quantity or "")), F.lit("")), r"-?\d+(\.\d+)?", 0), F.lit("")).try_cast("double")
-        instance = F.lit(s.shape == "instance")
-        filled = F.size(F.filter(F.map_values("attributes"), lambda v: v != ""))
-        basis = F.when(q.isNotNull(), "qty_column").when(instance, "row_count").otherwise("unknown_plan_count")
-        return rows.select("table_id", F.lit(s.name).alias("kind"), "row_ord", "mark", F.coalesce(q, F.when(instance, 1.0)).alias("quantity"), basis.alias("quantity_basis"), filled.alias("filled"))
-
-    return _each(spark, sf_dir, of)
+    rows = R.table_items(cells(spark, sf_dir), ["table_id"])
+    filled = F.size(F.filter(F.map_values("attributes"), lambda v: v != ""))
+    return rows.select("table_id", "kind", "row_ord", "mark", "quantity", "quantity_basis", filled.alias("filled"))
 
 
 _DATA = "(SELECT " + f"{_TABLE} AS table_id, {_TABLE} % 7 AS n, CAST(o_orderkey % 10 + 2 AS INTEGER) AS row_ord, " + ", ".join(f"{v} AS v{i}" for i, v in enumerate(_VALUES)) + " FROM orders)"
@@ -93,10 +74,10 @@ SELECT table_id, ['door', 'finish', 'plumbing_fixture', 'window', 'lighting_fixt
 
 def doors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of door schedules: mark, size, material, hardware and the building that its first letter tells."""
-    c = cells(spark, sf_dir).filter("kind = 'door'").drop("kind")
+    c = cells(spark, sf_dir).filter("kind = 'door'")
     a = lambda f: F.coalesce(F.try_element_at("attributes", F.lit(f)), F.lit(""))
     building = F.when(F.startswith("mark", F.lit("N")), "North").when(F.startswith("mark", F.lit("S")), "South").otherwise("")
-    return R.table_items(c, R.DOOR, ["table_id"]).select("table_id", "row_ord", "mark", a("width").alias("width"), a("door_material").alias("door_material"), a("hardware_set").alias("hardware_set"), building.alias("building"))
+    return R.table_items(c, ["table_id"], (R.DOOR,)).select("table_id", "row_ord", "mark", a("width").alias("width"), a("door_material").alias("door_material"), a("hardware_set").alias("hardware_set"), building.alias("building"))
 
 
 DOORS_SQL = f"SELECT table_id, row_ord, mark, v1 AS width, v3 AS door_material, v4 AS hardware_set, CASE substr(mark, 1, 1) WHEN 'N' THEN 'North' WHEN 'S' THEN 'South' ELSE '' END AS building FROM {_ITEMS} WHERE kind = 'door'"
@@ -115,9 +96,9 @@ CONFIDENCE_SQL = f"SELECT table_id, round((avg(CASE WHEN regexp_full_match(mark,
 
 def finish_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rooms of all finish schedules, the first of each number."""
-    c = cells(spark, sf_dir).filter("kind = 'finish'").drop("kind")
+    c = cells(spark, sf_dir).filter("kind = 'finish'")
     a = lambda f: F.coalesce(F.try_element_at("attributes", F.lit(f)), F.lit(""))
-    rows = R.table_items(c, R.FINISH, ["table_id"])
+    rows = R.table_items(c, ["table_id"], (R.FINISH,))
     return first_wins(rows, ["mark"], [F.asc("table_id"), F.asc("row_ord")]).select("mark", "table_id", "row_ord", a("room_name").alias("room_name"), a("base_finish").alias("base_finish"))
 
 

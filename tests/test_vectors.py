@@ -126,7 +126,7 @@ def test_resolver(spark):
     got = {r.col_ord: r.field for r in mapping.collect()}
     want = "door_mark fire_rating_minutes width height door_elevation_type door_material door_finish frame_elevation_type frame_material frame_finish hardware_set glass_film glass_type special_notes".split()
     assert got == dict(enumerate(want)) and tuple(tables.first()) == ("t", 3, 1.0)
-    item = R.items(cells(spark, DOOR_GRID), R.DOOR, ["table"]).first()
+    item = R.table_items(cells(spark, DOOR_GRID).withColumn("kind", F.lit("door")), ["table"]).first()
     assert (item.mark, item.quantity, item.quantity_basis, item.attributes["frame_material"]) == ("N107B", 1.0, "row_count", "HM")
     finish = [["ROOM FINISH SCHEDULE"] + [""] * 6, ["NUMBER", "NAME", "FLOOR", "BASE", "WALL", "CEILING", "COMMENTS"], ["N105", "LAB", "RF", "RB", "P", "ACT", ""]]
     assert [r.field for r in R.resolve(cells(spark, finish), R.FINISH, ["table"])[0].orderBy("col_ord").collect()] == ["room_number", "room_name", "floor_finish", "base_finish", "wall_finish", "ceiling_finish", "comments"]
@@ -136,7 +136,7 @@ def test_resolver(spark):
 
 def test_catalog_quantity(spark):
     grid = [["TAG", "DESCRIPTION", "QTY"], ["WC-1", "closet", "4"], ["L-1", "lavatory", "n/a"]]
-    got = {r.mark: (r.quantity, r.quantity_basis) for r in R.items(cells(spark, grid), R.PLUMBING, ["table"]).collect()}
+    got = {r.mark: (r.quantity, r.quantity_basis) for r in R.table_items(cells(spark, grid).withColumn("kind", F.lit("plumbing_fixture")), ["table"]).collect()}
     assert got == {"WC-1": (4.0, "qty_column"), "L-1": (None, "unknown_plan_count")}
 
 
