@@ -99,14 +99,19 @@ def windows(candidates: DataFrame, page: str, low: int, high: int, cap: int) ->
     if high <= low:
         return spark.createDataFrame([], "index long, start long, end long, candidates long")
     inside = candidates.select(F.col(page).cast("long").alias("p")).filter((F.col("p") >= low) & (F.col("p") < high)).distinct()
-    # Ranks over all candidates: blocks are counted first, and only the blocks are ordered as a whole.
-    block = F.floor(F.col("p") / 4096)
-    counted = inside.groupBy(block.alias("b")).agg(F.count("*").alias("n"))
-    before = counted.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("before"))
+    # Ranks over all candidates: counts of blocks, and of blocks of blocks, of which only the last are ordered as a whole.
+    block, upper = F.floor(F.col("p") / 4096), F.floor(F.col("b") / 4096)
+    counted = inside.groupBy(block.alias("b")).agg(F.count("*").alias("n")).withColumn("u", upper)
+    uppers = counted.groupBy("u").agg(F.sum("n").alias("_n")).select("u", (F.sum("_n").over(Window.orderBy("u")) - F.col("_n")).alias("_before"))
+    within = F.sum("n").over(Window.partitionBy("u").orderBy("b")) - F.col("n")
+    before = counted.withColumn("_within", within).join(uppers, "u").select("b", (F.col("_within") + F.col("_before")).alias("before"))
     ranked = inside.withColumn("b", block).join(before, "b").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("p")) - 1)
     cut = ranked.groupBy(F.floor(F.col("i") / cap).alias("index")).agg(F.max("p").alias("last"), F.count("*").alias("candidates"))
-    order = Window.orderBy("index")
-    edges = cut.select("index", (F.coalesce(F.lag("last").over(order) + 1, F.lit(low))).alias("start"), F.when(F.lead("last").over(order).isNull(), F.lit(high)).otherwise(F.col("last") + 1).alias("end"), "candidates")
+    # A window begins behind the one before it; the neighbours are found by their numbers.
+    earlier = cut.select((F.col("index") + 1).alias("index"), (F.col("last") + 1).alias("start"))
+    later = cut.select((F.col("index") - 1).alias("index"), F.lit(True).alias("_later"))
+    end = F.when(F.col("_later").isNull(), F.lit(high)).otherwise(F.col("last") + 1)
+    edges = cut.join(earlier, "index", "left").join(later, "index", "left").select("index", F.coalesce("start", F.lit(low)).alias("start"), end.alias("end"), "candidates")
     none = spark.createDataFrame([(0, low, high, 0)], "index long, start long, end long, candidates long").join(inside.limit(1).select(F.lit(1).alias("x")), F.lit(True), "left_anti")
     return edges.unionByName(none)
 

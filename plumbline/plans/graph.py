@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordered import last_wins
+from plumbline.sources.tables import stored
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,19 +26,32 @@ _NODE_OF = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey"
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [_t(spark, sf_dir, t).select(_id(t, c).alias("id"), F.lit(t).alias("node_type")) for t, c in _NODE_OF.items()])
+    """node_type, key; a node's id is both, put together only where it is shown."""
+    return reduce(DataFrame.unionByName, [_t(spark, sf_dir, t).select(F.lit(t).alias("node_type"), F.col(c).cast("long").alias("key")) for t, c in _NODE_OF.items()])
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_id, target_id, relationship, weight (the last line's quantity)."""
+def _shown(kind: str, key: str):
+    return F.concat_ws(":", kind, F.col(key).cast("string"))
+
+
+def edges(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    """source_type, source, relationship, target_type, target, weight; all edges, or those of the ``wanted`` relationships.
+
+    An edge comes with many lines, of which the last one's quantity stays: an aggregate that is combined before the shuffle.
+    """
     line = _t(spark, sf_dir, "lineitem")
-    order = ["l_shipdate", "l_linenumber", "l_quantity", "l_extendedprice"]
-    made = lambda s, t, r: line.select(s.alias("source_id"), t.alias("target_id"), F.lit(r).alias("relationship"), F.col("l_quantity").alias("weight"), *order[:2], *order[3:], F.col("l_quantity"))
-    from_lines = made(_id("orders", "l_orderkey"), _id("part", "l_partkey"), "HAS_MATERIAL").unionByName(made(_id("part", "l_partkey"), _id("supplier", "l_suppkey"), "SUPPLIED_BY"))
-    upserted = last_wins(from_lines, ["source_id", "target_id", "relationship"], order).select("source_id", "target_id", "relationship", "weight")
-    placed = _t(spark, sf_dir, "orders").select(_id("orders", "o_orderkey").alias("source_id"), _id("customer", "o_custkey").alias("target_id"), F.lit("PLACED_BY").alias("relationship"), F.lit(1.0).alias("weight"))
-    place = lambda t, k, n: _t(spark, sf_dir, t).select(_id(t, k).alias("source_id"), _id("nation", n).alias("target_id"), F.lit("LOCATED_IN").alias("relationship"), F.lit(1.0).alias("weight"))
-    return reduce(DataFrame.unionByName, [upserted, placed, place("customer", "c_custkey", "c_nationkey"), place("supplier", "s_suppkey", "s_nationkey")])
+    last = F.max(F.struct("l_shipdate", "l_linenumber", "l_quantity", "l_extendedprice"))["l_quantity"]
+
+    def made(df: DataFrame, relationship: str, source: tuple[str, str], target: tuple[str, str], weight=None) -> DataFrame:
+        keys = [F.lit(source[0]).alias("source_type"), F.col(source[1]).cast("long").alias("source"), F.lit(relationship).alias("relationship"), F.lit(target[0]).alias("target_type"), F.col(target[1]).cast("long").alias("target")]
+        return df.select(*keys, F.lit(1.0).alias("weight")) if weight is None else df.groupBy(source[1], target[1]).agg(weight.alias("weight")).select(*keys, "weight")
+
+    parts = {
+        "HAS_MATERIAL": lambda r: made(line, r, ("orders", "l_orderkey"), ("part", "l_partkey"), last), "SUPPLIED_BY": lambda r: made(line, r, ("part", "l_partkey"), ("supplier", "l_suppkey"), last),
+        "PLACED_BY": lambda r: made(_t(spark, sf_dir, "orders"), r, ("orders", "o_orderkey"), ("customer", "o_custkey")),
+        "LOCATED_IN": lambda r: made(_t(spark, sf_dir, "customer"), r, ("customer", "c_custkey"), ("nation", "c_nationkey")).unionByName(made(_t(spark, sf_dir, "supplier"), r, ("supplier", "s_suppkey"), ("nation", "s_nationkey"))),
+    }
+    return reduce(DataFrame.unionByName, [of(r) for r, of in parts.items() if not wanted or r in wanted])
 
 
 _NODES = "(" + " UNION ALL ".join(f"SELECT '{t}:' || {c} AS id, '{t}' AS node_type FROM {t}" for t, c in _NODE_OF.items()) + ")"
@@ -58,17 +71,18 @@ STATS_SQL = f"SELECT 'node/' || node_type AS what, count(*) AS n FROM {_NODES} G
 
 
 def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).filter("relationship = 'SUPPLIED_BY'")
+    return edges(spark, sf_dir, "SUPPLIED_BY").select(_shown("source_type", "source").alias("source_id"), _shown("target_type", "target").alias("target_id"), "relationship", "weight")
 
 
 def full_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order with its customer, materials and where the customer is: joins of two hops."""
-    e = edges(spark, sf_dir)
-    orders = nodes(spark, sf_dir).filter("node_type = 'orders'").select("id")
-    out = e.filter("relationship in ('PLACED_BY', 'HAS_MATERIAL')").groupBy("source_id").agg(F.max(F.when(F.col("relationship") == "PLACED_BY", F.col("target_id"))).alias("customer"), F.count_if(F.col("relationship") == "HAS_MATERIAL").alias("materials"))
-    where = e.filter("relationship = 'LOCATED_IN'").select(F.col("source_id").alias("_c"), F.col("target_id").alias("nation"))
-    j = orders.join(out, orders["id"] == out["source_id"], "left").join(where, F.col("customer") == F.col("_c"), "left")
-    return j.select("id", F.col("source_id").isNotNull().alias("found"), "customer", F.coalesce("materials", F.lit(0)).alias("materials"), "nation")
+    orders = nodes(spark, sf_dir).filter("node_type = 'orders'")
+    placed = edges(spark, sf_dir, "PLACED_BY").select("source", F.col("target").alias("_c"))
+    materials = edges(spark, sf_dir, "HAS_MATERIAL").groupBy("source").agg(F.count("*").alias("materials"))
+    where = edges(spark, sf_dir, "LOCATED_IN").filter("source_type = 'customer'").select(F.col("source").alias("_c"), F.concat(F.lit("nation:"), F.col("target").cast("string")).alias("nation"))
+    out = placed.join(materials, "source", "full").join(where, "_c", "left")
+    j = orders.join(out, orders["key"] == out["source"], "left")
+    return j.select(_shown("node_type", "key").alias("id"), F.col("source").isNotNull().alias("found"), F.when(F.col("_c").isNotNull(), _id("customer", "_c")).alias("customer"), F.coalesce("materials", F.lit(0)).alias("materials"), "nation")
 
 
 FULL_SQL = f"""SELECT id, s IS NOT NULL AS found, customer, coalesce(materials, 0) AS materials, nation FROM (SELECT id FROM {_NODES} WHERE node_type = 'orders')
@@ -78,12 +92,15 @@ FULL_SQL = f"""SELECT id, s IS NOT NULL AS found, customer, coalesce(materials,
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders without materials, parts that nothing refers to, and isolated nodes."""
-    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
-    no_out = n.filter("node_type = 'orders'").join(e.filter("relationship = 'HAS_MATERIAL'").select(F.col("source_id").alias("id")), "id", "left_anti").withColumn("what", F.lit("no_material"))
-    no_in = n.filter("node_type = 'part'").join(e.select(F.col("target_id").alias("id")), "id", "left_anti").withColumn("what", F.lit("not_referenced"))
-    both = e.select(F.col("source_id").alias("id")).unionByName(e.select(F.col("target_id").alias("id")))
-    alone = n.join(both, "id", "left_anti").withColumn("what", F.lit("isolated"))
-    return reduce(DataFrame.unionByName, [x.select("id", "what") for x in (no_out, no_in, alone)])
+    n = nodes(spark, sf_dir)
+    ends = lambda e, side: e.select(F.col(f"{side}_type").alias("node_type"), F.col(side).alias("key")).distinct()
+    e = stored(edges(spark, sf_dir), "edges")
+    lone = lambda df, used, what: df.join(used, ["node_type", "key"], "left_anti").select(_shown("node_type", "key").alias("id"), F.lit(what).alias("what"))
+    parts = [
+        lone(n.filter("node_type = 'orders'"), ends(e.filter("relationship = 'HAS_MATERIAL'"), "source"), "no_material"), lone(n.filter("node_type = 'part'"), ends(e, "target"), "not_referenced"),
+        lone(n, ends(e, "source").unionByName(ends(e, "target")), "isolated"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 ORPHANS_SQL = f"""WITH n AS (SELECT * FROM {_NODES}), e AS (SELECT * FROM {_EDGES}) SELECT id, 'no_material' AS what FROM n WHERE node_type = 'orders' AND id NOT IN (SELECT source_id FROM e WHERE relationship = 'HAS_MATERIAL')
@@ -92,8 +109,8 @@ ORPHANS_SQL = f"""WITH n AS (SELECT * FROM {_NODES}), e AS (SELECT * FROM {_EDGE
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of nodes of a type with an outgoing edge, and whether it passes 0.9."""
-    n, e = nodes(spark, sf_dir), edges(spark, sf_dir).select(F.col("source_id").alias("s")).distinct()
-    j = n.join(e, n["id"] == e["s"], "left").groupBy("node_type").agg(F.count("*").alias("nodes"), F.count("s").alias("resolved"))
+    used = edges(spark, sf_dir).select(F.col("source_type").alias("node_type"), F.col("source").alias("key"), F.lit(1).alias("_s")).distinct()
+    j = nodes(spark, sf_dir).join(used, ["node_type", "key"], "left").groupBy("node_type").agg(F.count("*").alias("nodes"), F.count("_s").alias("resolved"))
     return j.withColumn("rate", F.col("resolved") / F.col("nodes")).withColumn("passed", F.col("rate") >= 0.9)
 
 

@@ -59,11 +59,10 @@ FILTERS_SQL = "SELECT count(*) AS total, sum(l_quantity) AS quantity FROM lineit
 
 
 def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shred: each order's lines as a list, exploded again to rows with their place in it and defaults filled in."""
-    line = _t(spark, sf_dir, "lineitem").withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"))
-    report = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("o")).alias("items"))
-    rows = report.select("l_orderkey", F.posexplode("items").alias("ordinal", "i"))
-    return rows.select("l_orderkey", "ordinal", F.col("i.l_partkey").alias("mark"), F.coalesce("i.l_quantity", F.lit(0.0)).alias("quantity"))
+    """Shred: each order's lines as rows with their place in it and defaults filled in."""
+    at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    rows = _t(spark, sf_dir, "lineitem").withColumn("ordinal", F.row_number().over(at) - 1)
+    return rows.select("l_orderkey", "ordinal", F.col("l_partkey").alias("mark"), F.coalesce("l_quantity", F.lit(0.0)).alias("quantity"))
 
 
 PROJECTED_SQL = "SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) - 1 AS INTEGER) AS ordinal, l_partkey AS mark, l_quantity AS quantity FROM lineitem"
@@ -97,13 +96,14 @@ SELECT CAST(user_id AS VARCHAR) AS response_id, CAST(count(*) FILTER (event_type
 
 
 def daily_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extension: a stream over ``events``, unique by id, counted by day and type (complete mode)."""
+    """Extension: a stream over ``events``, unique by id, counted by day and type; each batch writes its whole result."""
     from plumbline.sources.tables import shared_folder
 
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     _t(spark, sf_dir, "events").write.parquet(f"{base}/in")
     schema = spark.read.parquet(f"{base}/in").schema
-    return ingest.run_available(ingest.tumbling(ingest.events_stream(spark, f"{base}/in", schema).dropDuplicates(["event_id"]), "1 day"), f"{base}-out", f"{base}/state", "complete").select(F.to_date("start").alias("day"), "event_type", "n")
+    counts = ingest.tumbling(ingest.events_stream(spark, f"{base}/in", schema).dropDuplicates(["event_id"]), "1 day")
+    return ingest.run_complete(counts, f"{base}/out", f"{base}/state").select(F.to_date("start").alias("day"), "event_type", "n")
 
 
 STREAM_SQL = "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL"

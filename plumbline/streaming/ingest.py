@@ -54,12 +54,17 @@ def accumulate(events: DataFrame) -> DataFrame:
     return texts.join(listed, "response_id", "left")
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run over all that is there into Parquet (append) or an in-memory table (complete), and read the result."""
-    spark = stream.sparkSession
-    if mode == "complete":
-        name = "t" + path.rpartition("/")[2].replace("-", "_")
-        stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-        return spark.table(name)
-    stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run over all that is there into Parquet, and read the result."""
+    stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run over all that is there; executors write each batch's whole result over the one before, and the last one is read."""
+
+    def sink(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(sink).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
