@@ -12,12 +12,18 @@ from . import shared
 HUB = 256
 
 
-def _led(edges: DataFrame, least: DataFrame) -> DataFrame:
+#: Hubs that are broadcast at most; beyond it their join shuffles, too.
+BROADCAST_ROWS = 1_000_000
+
+
+def _led(edges: DataFrame, least: DataFrame, count: int) -> DataFrame:
     """``edges`` (a, b) with m of ``least`` (a, m, n) for every a.
 
-    Nodes of more than HUB edges are at most one for HUB edges of the table; the others have so few that a join by a is even.
+    Nodes of more than HUB edges are at most one for HUB of the ``count`` edges, in either direction; the others have so
+    few that a join by a is even.
     """
-    hubs = F.broadcast(least.filter(F.col("n") > HUB).select("a", F.col("m").alias("_h")))
+    hubs = least.filter(F.col("n") > HUB).select("a", F.col("m").alias("_h"))
+    hubs = F.broadcast(hubs) if 2 * count // HUB <= BROADCAST_ROWS else hubs
     near = edges.join(hubs, "a", "left")
     rest = near.filter("_h IS NULL").join(least.filter(F.col("n") <= HUB).select("a", "m"), "a").select("a", "b", "m")
     return near.filter("_h IS NOT NULL").select("a", "b", F.col("_h").alias("m")).unionByName(rest)
@@ -33,19 +39,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = shared.checkpoint(edges)
+    count = edges.count()
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         # Large star: larger neighbours of a go to the least node near a.
-        large = _led(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = _led(both.filter("b > a"), least, count).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # Small star: a and its smaller neighbours go to the least of these (all edges point to smaller nodes).
         small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        step = _led(large, small).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
+        step = _led(large, small, count).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         step = shared.checkpoint(step)
         # A star forest has one edge for each node that is no root, and no root has an edge to a smaller node.
         done = step.agg(F.count("*").alias("n"), F.countDistinct("a").alias("d")).first()
         deep = step.join(step.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
-        edges = step
+        edges, count = step, done["n"]
         if done["n"] == done["d"] and not deep:
             break
     else:

@@ -120,9 +120,14 @@ def ring(df: DataFrame) -> DataFrame:
     ``df`` has _bucket and _key; the result has a row of three numbers for each bucket.
     """
     tops = df.select("_bucket", "_key").groupBy("_bucket").agg(F.max("_key").alias("_top"))
-    down = Window.orderBy(F.desc("_bucket"))
-    last = F.last("_bucket").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return tops.select("_bucket", "_top", F.coalesce(F.lag("_bucket").over(down), last).alias("_before"))
+    ranges = tops.repartitionByRange(shared.partitions(df.sparkSession), F.desc("_bucket")).select("_bucket", "_top", F.spark_partition_id().alias("_range"))
+    ranges = shared.written(ranges, "print-ring")
+    # Neighbours are found inside ranges, then over ranges, which are as many as shuffle partitions at most.
+    over = Window.orderBy("_range")
+    last = F.last("_low").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = ranges.groupBy("_range").agg(F.min("_bucket").alias("_low")).select("_range", F.coalesce(F.lag("_low").over(over), last).alias("_outside"))
+    inside = F.lag("_bucket").over(Window.partitionBy("_range").orderBy(F.desc("_bucket")))
+    return shared.written(ranges.withColumn("_inside", inside).join(F.broadcast(ends), "_range").select("_bucket", "_top", F.coalesce("_inside", "_outside").alias("_before")), "print-tops")
 
 
 def with_next(df: DataFrame, tops: DataFrame, value: str, into: str, order: list[Column]) -> DataFrame:
@@ -133,7 +138,7 @@ def with_next(df: DataFrame, tops: DataFrame, value: str, into: str, order: list
     is partitioned by _bucket and has _rn, a row's number in its bucket.
     """
     guest = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("g")), F.when(F.col("_key") == F.col("_top"), F.struct(F.col("_before").alias("b"), F.lit(True).alias("g"))))
-    dealt = df.join(F.broadcast(tops), "_bucket").withColumn("_to", F.explode(F.filter(guest, lambda x: x.isNotNull())))
+    dealt = df.join(F.broadcast(tops) if tops.count() <= BROADCAST_ROWS else tops, "_bucket").withColumn("_to", F.explode(F.filter(guest, lambda x: x.isNotNull())))
     dealt = dealt.withColumn("_bucket", F.col("_to.b")).withColumn("_guest", F.col("_to.g")).drop("_to", "_top", "_before")
     at = Window.partitionBy("_bucket").orderBy("_guest", F.desc("_key"), *order)
     return dealt.withColumn(into, F.lead(value).over(at)).withColumn("_rn", F.row_number().over(at)).filter("not _guest").drop("_guest")
@@ -142,7 +147,7 @@ def with_next(df: DataFrame, tops: DataFrame, value: str, into: str, order: list
 def op5_weighted_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = shared.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = in_buckets(documents, "doc_id")
-    tops = ring(docs)  # bounded, so it is broadcast
+    tops = ring(docs)
     pair = with_next(docs, tops, "text", "_next", [F.col("text")])
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
