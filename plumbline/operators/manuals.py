@@ -24,9 +24,20 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def bid_items(df: DataFrame, kind: str, keys: list[str], text: str = "text") -> DataFrame:
+# Words that tell an alternate's basis, the unit of a price, and how much of a description is kept.
+DEDUCT, ADD, UNIT = r"(?i)Deductive\s+Alternate", r"(?i)Add(itive)?\s+Alternate", r"(?i)Unit of Measurement\s*:\s*([^\n]+)"
+MOST_DESCRIPTION = 300
+# Lines of manuals that say nothing.
+NOISE = ("BID SET", "TABLE OF CONTENTS", "END OF TABLE OF CONTENTS", "PROJECT MANUAL COVER")
+NOISE_PATTERNS = (r"^\d{1,2}\s+[A-Za-z]+\s+\d{4}$", r"^TABLE OF CONTENTS\s+TOC-\d+$")
+# Where the columns of an abbreviation list begin, and the band of the page that they lie in.
+ANCHORS, BAND = (169, 440, 712), (150, 900)
+
+
+def bid_items(df: DataFrame, kind: str, keys: list[str], text: str = "text", most: int = MOST_DESCRIPTION) -> DataFrame:
     """keys, ordinal, number, title, basis, description, unit of the items "<word> No. <n>: <title>" in a text.
 
+    A description is a line of at most ``most`` characters.
     Each item's body reaches to the next item; an alternate's basis is deduct, add or unknown, by its body.
     """
     word, described = KINDS[kind]
@@ -35,11 +46,11 @@ def bid_items(df: DataFrame, kind: str, keys: list[str], text: str = "text") ->
     heads = F.regexp_extract_all(text, F.lit(mark), 0)
     rows = df.select(*keys, F.posexplode(F.arrays_zip(heads.alias("head"), bodies.alias("body"))).alias("ordinal", "x"))
     said, body = F.col("x.head"), F.col("x.body")
-    basis = {"alternate": F.when(body.rlike(r"(?i)Deductive\s+Alternate"), "deduct").when(body.rlike(r"(?i)Add(itive)?\s+Alternate"), "add").otherwise("unknown"), "unit_price": F.lit("unit"), "allowance": F.lit("lump_sum")}[kind]
-    unit = F.rtrim(squeeze(_found(body, r"(?i)Unit of Measurement\s*:\s*([^\n]+)")), F.lit(".")) if kind == "unit_price" else F.lit(None).cast("string")
+    basis = {"alternate": F.when(body.rlike(DEDUCT), "deduct").when(body.rlike(ADD), "add").otherwise("unknown"), "unit_price": F.lit("unit"), "allowance": F.lit("lump_sum")}[kind]
+    unit = F.rtrim(squeeze(_found(body, UNIT)), F.lit(".")) if kind == "unit_price" else F.lit(None).cast("string")
     return rows.select(
         *keys, "ordinal", _found(said, rf"(?i)No\.?\s*(\d+)").alias("number"), F.rtrim(strip(_found(said, r":\s*([^\n]+)")), F.lit(".")).alias("title"), basis.alias("basis"),
-        F.coalesce(F.substring(squeeze(_found(body, rf"(?i){described}\s*:\s*([^\n]+)")), 1, 300), F.lit("")).alias("description"), unit.alias("unit"),
+        F.coalesce(F.substring(squeeze(_found(body, rf"(?i){described}\s*:\s*([^\n]+)")), 1, most), F.lit("")).alias("description"), unit.alias("unit"),
     )
 
 
@@ -55,9 +66,8 @@ def toc_pages(pages: DataFrame, by: list[str], page: str = "page_index", text: s
 def is_noise(line: Column, firm: str | None = None) -> Column:
     """Blank lines, running heads (of ``firm``, if given), dates and footers."""
     s = strip(line)
-    exact = ["BID SET", "TABLE OF CONTENTS", "END OF TABLE OF CONTENTS", "PROJECT MANUAL COVER"]
     of_firm = F.startswith(s, F.lit(firm)) if firm else F.lit(False)
-    return (s == "") | of_firm | s.isin(exact) | s.rlike(r"^\d{1,2}\s+[A-Za-z]+\s+\d{4}$") | s.rlike(r"^TABLE OF CONTENTS\s+TOC-\d+$")
+    return (s == "") | of_firm | s.isin(*NOISE) | s.rlike(NOISE_PATTERNS[0]) | s.rlike(NOISE_PATTERNS[1])
 
 
 def toc(lines: DataFrame, by: list[str], order: list[str], line: str = "line", firm: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +117,7 @@ def clustered_rows(words: DataFrame, by: list[str], tolerance: float = 5.0) -> D
     return words.join(rows, [*by, "pos"])
 
 
-def abbreviations(words: DataFrame, by: list[str], anchors: tuple[float, ...] = (169, 440, 712), band: tuple[float, float] = (150, 900), tolerance: float = 5.0) -> DataFrame:
+def abbreviations(words: DataFrame, by: list[str], anchors: tuple[float, ...] = ANCHORS, band: tuple[float, float] = BAND, tolerance: float = 5.0) -> DataFrame:
     """by, ord, abbreviation, definition of a list in columns; words are (by, pos, text, x0, top).
 
     In each row and column the first word is the abbreviation and the others its meaning; distinct pairs, in order.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: list[str] = ["plans.schedules", "plans.discovery", "plans.takeoff", "plans.graph", "plans.transcripts", "plans.service", "plans.drawings", "plans.manuals_book", "plans.tables_book", "plans.building", "plans.package", "plans.knowledge", "plans.streams", "plans.shards", "plans.sections_book", "plans.agent_book"]
+_MODULES: list[str] = ["plans.schedules", "plans.discovery", "plans.takeoff", "plans.graph", "plans.transcripts", "plans.service", "plans.drawings", "plans.manuals_book", "plans.tables_book", "plans.building", "plans.package", "plans.knowledge", "plans.streams", "plans.shards", "plans.sections_book", "plans.agent_book", "plans.report_book"]
 
 
 def _loaded():
