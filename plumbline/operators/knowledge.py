@@ -153,3 +153,42 @@ def exported(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     edges.write.mode("overwrite").parquet(f"{folder}/edges")
     spark = nodes.sparkSession
     stats(spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")).write.mode("overwrite").parquet(f"{folder}/stats")
+
+
+#: Columns of a door's specification by the edge that gives them.
+ROLES = {"DOOR_SPECIFIED_IN": "door_spec", "FRAME_SPECIFIED_IN": "frame_spec", "HARDWARE_SPECIFIED_IN": "hardware_spec", "GLAZING_SPECIFIED_IN": "glazing_spec"}
+
+
+def _titled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges to sections with the section's title."""
+    titles = nodes.filter("node_type = 'section'").select(F.col("key").alias("target"), F.col("properties")["title"].alias("title"))
+    return edges.filter("target_type = 'section'").join(titles, "target")
+
+
+def door_specs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """door, properties, a section and title for every one of ROLES, room, materials and sheets of every door."""
+    ref = F.struct(F.col("target").alias("section"), "title")
+    specified = _titled(nodes, edges.filter("source_type = 'door'")).groupBy(F.col("source").alias("key")).agg(*(F.max(F.when(F.col("relationship") == r, ref)).alias(c) for r, c in ROLES.items()))
+    listed = lambda r: F.array_sort(F.collect_list(F.when(F.col("relationship") == r, F.col("target"))))
+    placed = edges.filter("source_type = 'door'").groupBy(F.col("source").alias("key")).agg(F.max(F.when(F.col("relationship") == "LOCATED_IN", F.col("target"))).alias("room"), listed("HAS_MATERIAL").alias("materials"), listed("APPEARS_ON").alias("sheets"))
+    doors_ = nodes.filter("node_type = 'door'").select("key", "properties")
+    return doors_.join(specified, "key", "left").join(placed, "key", "left").select(F.col("key").alias("door"), "properties", *ROLES.values(), "room", "materials", "sheets")
+
+
+def room_specs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """room, properties, finish_specs (section, title) and doors of every room."""
+    finishes = _titled(nodes, edges.filter("relationship = 'FINISH_SPECIFIED_IN'")).groupBy(F.col("source").alias("key")).agg(F.array_sort(F.collect_list(F.struct(F.col("target").alias("section"), "title"))).alias("finish_specs"))
+    inside = edges.filter("relationship = 'LOCATED_IN'").groupBy(F.col("target").alias("key")).agg(F.array_sort(F.collect_list("source")).alias("doors"))
+    j = nodes.filter("node_type = 'room'").select("key", "properties").join(finishes, "key", "left").join(inside, "key", "left")
+    return j.select(F.col("key").alias("room"), "properties", F.coalesce("finish_specs", F.array().cast("array<struct<section:string,title:string>>")).alias("finish_specs"), F.coalesce("doors", F.array().cast("array<string>")).alias("doors"))
+
+
+def lost(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """what, node_type, key, codes: doors in no room, sections that nothing leads to, elements with codes that found no section."""
+    located = edges.filter("relationship = 'LOCATED_IN'").select(F.col("source").alias("key")).distinct()
+    reached = edges.filter("target_type = 'section'").select(F.col("target").alias("key")).distinct()
+    of = lambda df, what, codes=None: df.select(F.lit(what).alias("what"), *KEY, (F.lit(None).cast("string") if codes is None else codes).alias("codes"))
+    alone = of(nodes.filter("node_type = 'door'").join(located, "key", "left_anti"), "orphan_door")
+    unused = of(nodes.filter("node_type = 'section'").join(reached, "key", "left_anti"), "orphan_section")
+    codes = F.try_element_at("properties", F.lit("unresolved_codes"))
+    return alone.unionByName(unused).unionByName(of(nodes.filter(codes.isNotNull()), "missing", codes))

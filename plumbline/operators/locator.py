@@ -52,6 +52,9 @@ SPECS = (
 MANUAL_ANCHORS = ("DIVISION", "SECTION", "TABLE OF CONTENTS")
 TOC_LINES, DOOR_COLUMNS, DOOR_COVERAGE, FINISH_COLUMNS = 3, 6, 0.75, 7
 
+# Kinds of regions that are known by name; others are allowed.
+KNOWN_REGIONS = ("manual", "drawings", "front_matter", "unknown")
+
 PAGE = ["package", "file_id", "page_index"]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.text import SCALE, number, scale_factor, strip
+from plumbline.functions.text import SCALE, number, scale_factor, snap_rotation, strip, token_kind
 from plumbline.operators.ordered import first_wins
 
 
@@ -88,3 +88,15 @@ def boxes(points: Column) -> Column:
     """The bounding box (x0, y0, x1, y1) of an array of (x, y)."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+
+
+def text_objects(pages: DataFrame, by: list[str], blocks: str = "blocks") -> DataFrame:
+    """by, block, line, span, text, kind, rotation of the text of nested pages (blocks of lines of spans); images and blank spans are left out.
+
+    ``blocks`` is array<struct<type, lines: array<struct<dx, dy, spans: array<struct<text>>>>>>; a null type is text.
+    """
+    b = pages.select(*by, F.posexplode(blocks).alias("block", "_b")).filter(F.coalesce(F.col("_b.type"), F.lit(0)) == 0)
+    lines = b.select(*by, "block", F.posexplode("_b.lines").alias("line", "_l"))
+    spans = lines.select(*by, "block", "line", snap_rotation(F.coalesce("_l.dx", F.lit(1.0)), F.coalesce("_l.dy", F.lit(0.0))).alias("rotation"), F.posexplode("_l.spans").alias("span", "_s"))
+    text = strip(F.coalesce("_s.text", F.lit("")))
+    return spans.select(*by, "block", "line", "span", text.alias("text"), token_kind(text).alias("kind"), "rotation").filter("text <> ''")

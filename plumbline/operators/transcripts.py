@@ -154,3 +154,31 @@ def decide_in_session(calls: DataFrame, rules: DataFrame, answers: DataFrame) ->
     decision = F.when(F.col("_before"), "allow").when(F.col("decision") != "ask", F.col("decision")).otherwise(F.coalesce("answer", F.lit("deny")))
     reason = F.when(F.col("_before"), "approved before").when(F.col("decision") != "ask", "rule").when(F.col("answer").isNull(), "nobody to ask").otherwise("user")
     return out.select("call_id", decision.alias("decision"), reason.alias("reason"))
+
+
+def assistant_blocks(responses: DataFrame) -> DataFrame:
+    """conv_id, turn, block_ord, kind, text, call_id, name, args of assistant ``responses`` (conv_id, turn, text, reasoning, reasoning_tokens, calls).
+
+    Reasoning comes first, where there is text or metadata of it; then all calls, or else the text.
+    """
+    block = lambda kind, text, call=None: F.struct(F.lit(kind).alias("kind"), text.alias("text"), *((F.lit(None) if call is None else call[c]).cast("string").alias(a) for c, a in (("id", "call_id"), ("name", "name"), ("args", "args"))))
+    thought = F.array_compact(F.array(F.when(F.coalesce("reasoning", F.lit("")) != "", block("reasoning", F.col("reasoning")))))
+    calls = F.transform(F.coalesce("calls", F.array().cast("array<struct<id:string,name:string,args:string>>")), lambda c: block("call", F.lit(None).cast("string"), c))
+    said = F.when(F.size(calls) > 0, calls).otherwise(F.array(block("text", F.coalesce("text", F.lit("")))))
+    return responses.select("conv_id", "turn", F.posexplode(F.concat(thought, said)).alias("block_ord", "_b")).select("conv_id", "turn", "block_ord", "_b.*")
+
+
+def argument_errors(calls: DataFrame, required: DataFrame, most: int = 200) -> DataFrame:
+    """call_id, error of ``calls`` (call_id, name, args) whose arguments are no JSON object, or lack what ``required`` (name, field) asks for.
+
+    What could not be read is shown up to ``most`` characters; the two kinds of error stay apart.
+    """
+    # Within brackets nothing may follow the one value.
+    one = F.coalesce(F.json_array_length(F.concat(F.lit("["), "args", F.lit("]"))) == 1, F.lit(False))
+    fields = F.json_object_keys("args")
+    shown = F.when(F.length("args") > most, F.concat(F.substring("args", 1, most), F.lit("…"))).otherwise(F.col("args"))
+    bad = ~one | fields.isNull()
+    asked = required.groupBy("name").agg(F.array_sort(F.collect_set("field")).alias("_f"))
+    j = calls.join(asked, "name", "left").withColumn("_lost", F.array_except(F.coalesce("_f", F.array().cast("array<string>")), fields))
+    error = F.when(bad, F.concat("name", F.lit(": arguments were not valid JSON: "), F.coalesce(shown, F.lit("")))).when(F.size("_lost") > 0, F.concat("name", F.lit(": invalid arguments, missing "), F.array_join("_lost", ", ")))
+    return j.select("call_id", error.alias("error")).filter("error IS NOT NULL")

@@ -142,11 +142,40 @@ j AS (SELECT coalesce(s.item_id, p.item_id) AS item_id, coalesce(s.doc_id, p.doc
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY pin DESC, score DESC NULLS LAST, doc_id) AS INTEGER) AS rank, count(*) FILTER (pin) OVER (PARTITION BY item_id) AS n FROM j)
 SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= greatest(n, 7)"""
 
+_RESPONSE = {
+    "conv_id": "user_id", "turn": "event_id", "text": "CASE WHEN event_type = 'error' THEN NULL ELSE event_type END", "reasoning": "CASE WHEN event_id % 3 = 0 THEN props WHEN event_id % 3 = 1 THEN '' END",
+}
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of assistant messages: reasoning first, then the calls, or else the text."""
+    call = "CASE WHEN event_type IN ('click', 'purchase') THEN transform(sequence(1, CAST(event_id % 3 AS INT) + 1), i -> named_struct('id', concat(event_id, '-', i), 'name', event_type, 'args', props)) END AS calls"
+    r = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*(f"{e} AS {n}" for n, e in _RESPONSE.items()), call)
+    return T.assistant_blocks(r)
+
+
+BLOCKS_SQL = f"""WITH r AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _RESPONSE.items())}, event_type, event_id, props, event_type IN ('click', 'purchase') AS called FROM events),
+b AS (SELECT conv_id, turn, 0 AS o, 'reasoning' AS kind, reasoning AS text, NULL AS call_id, NULL AS name, NULL AS args FROM r WHERE reasoning <> '' UNION ALL SELECT conv_id, turn, i, 'call', NULL, event_id || '-' || i, event_type, props FROM (SELECT *, unnest(range(1, event_id % 3 + 2)) AS i FROM r WHERE called)
+ UNION ALL SELECT conv_id, turn, 1, 'text', coalesce(text, ''), NULL, NULL, NULL FROM r WHERE NOT called) SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY o) - 1 AS INTEGER) AS block_ord, kind, text, call_id, name, args FROM b"""
+
+_CALL = {"call_id": "event_id", "name": "event_type", "args": "CASE event_id % 6 WHEN 0 THEN props || repeat('x', 300) WHEN 1 THEN '[1]' WHEN 2 THEN '{\"page\": 1}' WHEN 3 THEN '{' ELSE props END"}
+
+
+def bad_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls whose arguments are no JSON object, or lack a field that their tool asks for."""
+    required = spark.createDataFrame([("view", "k"), ("view", "page"), ("click", "k"), ("error", "page")], "name string, field string")
+    return T.argument_errors(_made(spark, sf_dir, "events", _CALL), required)
+
+
+ARGUMENTS_SQL = f"""WITH c AS {_sql(_CALL, 'events')}, q AS (SELECT * FROM (VALUES ('view', 'k'), ('view', 'page'), ('click', 'k'), ('error', 'page')) v(name, field)),
+j AS (SELECT *, json_valid(args) AND starts_with(args, '{{') AS ok, (SELECT string_agg(field, ', ' ORDER BY field) FROM q WHERE q.name = c.name AND NOT (CASE WHEN json_valid(args) THEN list_contains(json_keys(args), field) ELSE false END)) AS missing FROM c)
+SELECT call_id, CASE WHEN NOT ok THEN name || ': arguments were not valid JSON: ' || CASE WHEN length(args) > 200 THEN left(args, 200) || '…' ELSE args END ELSE name || ': invalid arguments, missing ' || missing END AS error FROM j WHERE NOT ok OR missing IS NOT NULL"""
+
 QUERIES = {
-    "j21_without_orphans": without_orphans, "w23_query_texts": query_texts, "x10_plan_ready": ready, "m18_open_items": notes, "m19_plan_texts": plan_texts, "j23_allowed_tools": tools, "m13_verdicts": verdicts,
+    "m16_blocks": blocks, "m20_arguments": bad_arguments, "j21_without_orphans": without_orphans, "w23_query_texts": query_texts, "x10_plan_ready": ready, "m18_open_items": notes, "m19_plan_texts": plan_texts, "j23_allowed_tools": tools, "m13_verdicts": verdicts,
     "m21_sessions": sessions, "d11_pinned": pinned,
 }
 ORACLE_SQL = {
-    "j21_without_orphans": ORPHANS_SQL, "w23_query_texts": QUERY_SQL, "x10_plan_ready": READY_SQL, "m18_open_items": NOTES_SQL, "m19_plan_texts": TEXTS_SQL, "j23_allowed_tools": TOOLS_SQL, "m13_verdicts": VERDICTS_SQL,
+    "m16_blocks": BLOCKS_SQL, "m20_arguments": ARGUMENTS_SQL, "j21_without_orphans": ORPHANS_SQL, "w23_query_texts": QUERY_SQL, "x10_plan_ready": READY_SQL, "m18_open_items": NOTES_SQL, "m19_plan_texts": TEXTS_SQL, "j23_allowed_tools": TOOLS_SQL, "m13_verdicts": VERDICTS_SQL,
     "m21_sessions": SESSIONS_SQL, "d11_pinned": PINNED_SQL,
 }

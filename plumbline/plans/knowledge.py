@@ -70,6 +70,26 @@ def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/stats")
 
 
+def _reference(c: str):
+    return F.concat_ws(" ", f"{c}.section", f"{c}.title")
+
+
+def door_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every door's sections with their titles, its room, materials and sheets."""
+    out = K.door_specs(*graph(spark, sf_dir))
+    return out.select("door", *(_reference(c).alias(c) for c in K.ROLES.values()), "room", F.array_join("materials", ",").alias("materials"), F.array_join("sheets", ",").alias("sheets"))
+
+
+def room_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every room's finish sections with their titles, and its doors."""
+    out = K.room_specs(*graph(spark, sf_dir))
+    return out.select("room", F.array_join(F.transform("finish_specs", lambda f: F.concat_ws(" ", f["section"], f["title"])), ",").alias("finish_specs"), F.array_join("doors", ",").alias("doors"))
+
+
+def lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.lost(*graph(spark, sf_dir))
+
+
 def _sql(of: dict[str, str], table: str) -> str:
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in of.items()) + f" FROM {table}"
 
@@ -112,5 +132,13 @@ edge AS (SELECT mark AS source, rel AS relationship, 'section' AS target_type, s
 STATS_SQL = f"""{_GRAPH} SELECT 'node/' || node_type AS what, count(*) AS n FROM node GROUP BY 1 UNION ALL SELECT 'total_nodes', count(*) FROM node
  UNION ALL SELECT 'edge/' || relationship, count(*) FROM edge GROUP BY 1 UNION ALL SELECT 'total_edges', count(*) FROM edge"""
 
-QUERIES = {"r14_graph_nodes": nodes, "r14_graph_edges": edges, "k5_graph_export": export}
-ORACLE_SQL = {"r14_graph_nodes": f"{_GRAPH} SELECT * FROM node", "r14_graph_edges": f"{_GRAPH} SELECT * FROM edge", "k5_graph_export": STATS_SQL}
+_ROLE = ", ".join(f"coalesce(max(t) FILTER (relationship = '{r}'), '') AS {c}" for r, c in K.ROLES.items())
+DOOR_SPECS_SQL = f"""{_GRAPH}, e AS (SELECT edge.*, target || ' ' || sec.title AS t FROM edge LEFT JOIN sec ON target_type = 'section' AND sec.section = target)
+SELECT d.mark AS door, {_ROLE}, max(target) FILTER (relationship = 'LOCATED_IN') AS room, coalesce(string_agg(target, ',' ORDER BY target) FILTER (relationship = 'HAS_MATERIAL'), '') AS materials,
+ coalesce(string_agg(target, ',' ORDER BY target) FILTER (relationship = 'APPEARS_ON'), '') AS sheets FROM door d JOIN e ON e.source = d.mark GROUP BY d.mark"""
+ROOM_SPECS_SQL = f"""{_GRAPH} SELECT n.key AS room, coalesce((SELECT string_agg(e.target || ' ' || s.title, ',' ORDER BY e.target) FROM edge e JOIN sec s ON s.section = e.target WHERE e.relationship = 'FINISH_SPECIFIED_IN' AND e.source = n.key), '') AS finish_specs,
+ coalesce((SELECT string_agg(e.source, ',' ORDER BY e.source) FROM edge e WHERE e.relationship = 'LOCATED_IN' AND e.target = n.key), '') AS doors FROM node n WHERE node_type = 'room'"""
+LOST_SQL = f"""{_GRAPH} SELECT 'orphan_section' AS what, 'section' AS node_type, section AS key, NULL AS codes FROM sec WHERE section NOT IN (SELECT target FROM edge WHERE target_type = 'section') UNION ALL SELECT 'missing', node_type, key, codes FROM lost"""
+
+QUERIES = {"g2_door_specs": door_specs, "g3_graph_rooms": room_specs, "g5_lost": lost, "r14_graph_nodes": nodes, "r14_graph_edges": edges, "k5_graph_export": export}
+ORACLE_SQL = {"g2_door_specs": DOOR_SPECS_SQL, "g3_graph_rooms": ROOM_SPECS_SQL, "g5_lost": LOST_SQL, "r14_graph_nodes": f"{_GRAPH} SELECT * FROM node", "r14_graph_edges": f"{_GRAPH} SELECT * FROM edge", "k5_graph_export": STATS_SQL}

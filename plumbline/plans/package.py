@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
-from plumbline.operators import locator, names, ordered, schema_resolver
+from plumbline.operators import locator, names, ordered, schema_resolver, sheets
 from plumbline.plans.discovery import absorbed_sql
 from plumbline.sources.tables import stored, words
 
@@ -151,5 +151,29 @@ def closest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.closest(said("benchmark"), said("conversations"))
 
 
-QUERIES = {"w7_locate_all": located, "w4_front_matter": front_matter, "r13_page_hints": hints, "r19_closest_names": closest_names}
-ORACLE_SQL = {"w7_locate_all": LOCATED_SQL, "w4_front_matter": FRONT_SQL, "r13_page_hints": HINTS_SQL}
+def text_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of nested pages: a conversation is a page, a turn a block, with lines of words; system turns are images."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    line = lambda x: F.struct(F.when(F.length(x) % 2 == 0, 0.0).alias("dx"), F.lit(1.0).alias("dy"), F.transform(F.split(x, " "), lambda w: F.struct(w.alias("text"))).alias("spans"))
+    block = F.struct("turn", F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 0).alias("type"), F.transform(F.split("text", "\n"), line).alias("lines"))
+    pages = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    return sheets.text_objects(pages, ["conv_id"]).groupBy("conv_id", "block", "line", "rotation").agg(F.count("*").alias("spans"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+OBJECTS_SQL = """WITH b AS (SELECT conv_id, role, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS block FROM conversations),
+l AS (SELECT conv_id, block, lines[i] AS t, CAST(i - 1 AS INTEGER) AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS lines FROM b WHERE role <> 'system'))),
+w AS (SELECT conv_id, block, line, t, unnest(string_split(t, ' ')) AS word, unnest(range(len(string_split(t, ' ')))) AS i FROM l)
+SELECT conv_id, block, line, CASE WHEN length(t) % 2 = 0 THEN 90 ELSE 0 END AS rotation, count(*) AS spans, string_agg(trim(word), ' ' ORDER BY i) AS text FROM w WHERE trim(word) <> '' GROUP BY conv_id, block, line, t"""
+
+
+def known_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and artifacts of all packages with a flag for those that are not known by name; unknown ones stay."""
+    of = stored(profiles(spark, sf_dir), "profiles")
+    kinds = regions(of).select("package", "file_id", F.when(F.col("file_id") % 7 == 0, F.concat(F.lit("new_"), "kind")).otherwise(F.col("kind")).alias("kind"))
+    return kinds.groupBy("kind", F.col("kind").isin(*locator.KNOWN_REGIONS).alias("known")).agg(F.count("*").alias("regions"))
+
+
+KNOWN_SQL = f"{_BASE_SQL}, k AS (SELECT CASE WHEN file_id % 7 = 0 THEN 'new_' || kind ELSE kind END AS kind FROM marked) SELECT kind, kind IN {locator.KNOWN_REGIONS} AS known, count(*) AS regions FROM k GROUP BY 1, 2"
+
+QUERIES = {"f24_text_objects": text_objects, "f40_known": known_values, "w7_locate_all": located, "w4_front_matter": front_matter, "r13_page_hints": hints, "r19_closest_names": closest_names}
+ORACLE_SQL = {"f24_text_objects": OBJECTS_SQL, "f40_known": KNOWN_SQL, "w7_locate_all": LOCATED_SQL, "w4_front_matter": FRONT_SQL, "r13_page_hints": HINTS_SQL}
