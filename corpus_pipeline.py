@@ -24,7 +24,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: The classifier and the packing order are beyond SQL; tests hold the stages against plain versions.
+#: The classifier and the packing order are beyond SQL; tests hold the operators against plain versions, and run the whole.
 ORACLE_SQL = None
 
 
