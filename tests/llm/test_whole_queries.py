@@ -131,3 +131,24 @@ def test_lines_recall_on_table(spark, least):
     found = sum(p.x in root and root[p.x] == root.get(p.y) for p in pairs)
     print("recall", found, len(pairs))
     assert found >= least * len(pairs)
+
+
+def test_short_lines_recall(spark):
+    """Lines of a few words with one word or one blank more or less meet, though they share no longer run."""
+    import random
+
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choices("abcdefghijklmnop", k=draw.randint(3, 9)))
+    rows, pairs = [], []
+    for i in range(120):
+        said = [word() for _ in range(draw.randint(4, 12))]
+        changed = list(said)
+        at = draw.randrange(len(said))
+        changed[at] = changed[at][:-1] + "z" if i % 3 else changed[at] + " "
+        rows += [(2 * i, " ".join(said)), (2 * i + 1, " ".join(changed))]
+        pairs.append((2 * i, 2 * i + 1))
+    own = lines.occurrences(spark.createDataFrame(rows, "doc_id long, text string"))
+    form = {r["_d"]: r.form for r in own.collect()}
+    root = {r.form: r.root for r in lines.groups(lines.signed_forms(lines.distinct_forms(own), []), own).collect()}
+    found = sum(form[a] == form[b] or (form[a] in root and root[form[a]] == root.get(form[b])) for a, b in pairs)
+    assert found >= 0.9 * len(pairs)
