@@ -262,7 +262,7 @@ TRUNCATED_SQL = "SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE sub
 
 
 def first_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first area plan of each room (supplier's nation) wins; ordered distinct: a user's event types by first use; the greatest value wins."""
+    """For each user the first event, the event of the greatest value, and the types of events in the order of their first use."""
     e = _t(spark, sf_dir, "events")
     kinds = e.groupBy("user_id", "event_type").agg(F.min("event_id").alias("i")).groupBy("user_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("i", "event_type"))), lambda x: x["event_type"])).alias("kinds"))
     best = top(e, ["user_id"], [F.desc("value"), F.asc("event_id")], 1).select("user_id", F.col("event_id").alias("best_event"))
@@ -274,7 +274,7 @@ FIRST_SQL = "SELECT user_id, (SELECT string_agg(event_type, ',' ORDER BY i) FROM
 
 
 def merged_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union of keys with the right side's value winning: nations' names over by customers' latest segment, and which side gave it."""
+    """Union of keys with the right side's value winning: suppliers' names, over by the segments of customers of even numbers, and which side gave it."""
     left = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("l"))
     right = _t(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("r"))
     return left.join(right, "k", "full").select("k", F.coalesce("r", "l").alias("value"), F.col("r").isNotNull().alias("replaced"))

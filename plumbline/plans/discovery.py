@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions import text as X
 from plumbline.operators import joins, ordered
@@ -115,14 +116,26 @@ SELECT file_id, count(*) FILTER (status = 'found') AS found, count(*) FILTER (st
  coalesce(string_agg(name, ',' ORDER BY name) FILTER (status = 'absent'), '') AS missing FROM s GROUP BY file_id"""
 
 
+#: How many pages of a file decide its format.
+SAMPLED = 10
+
+
 def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with page count and format, by the text of sampled pages."""
-    p = pages(spark, sf_dir)
-    per = p.groupBy("file_id").agg(F.count("*").alias("page_count"), F.max((F.length(X.strip(F.col("text"))) >= 20) & (F.col("page_index") % 10 == 0)).alias("vector"))
-    return per.select("file_id", "page_count", F.when(F.col("vector"), "pdf_vector").otherwise("pdf_scanned").alias("doc_format"))
+    """Files with page count, format by the text of sampled pages, and a checksum of their pages' checksums in order.
+
+    Every n/10th page of a file is looked at, all of a file of fewer than twenty; a file without pages is unknown.
+    """
+    at = Window.partitionBy("file_id").orderBy("page_index")
+    step = F.greatest(F.floor(F.col("_n") / SAMPLED), F.lit(1))
+    p = pages(spark, sf_dir).withColumn("_i", F.row_number().over(at) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("file_id")))
+    sampled = (F.col("_i") % step == 0) & (F.length(X.strip(F.col("text"))) >= 20)
+    sums = F.array_sort(F.collect_list(F.struct("_i", F.sha2("text", 256).alias("s"))))
+    per = p.groupBy("file_id").agg(F.count("*").alias("page_count"), F.max(F.coalesce(sampled, F.lit(False))).alias("vector"), F.sha2(F.array_join(F.transform(sums, lambda x: x["s"]), ""), 256).alias("checksum"))
+    return per.select("file_id", "page_count", F.when(F.col("page_count") == 0, "unknown").when(F.col("vector"), "pdf_vector").otherwise("pdf_scanned").alias("doc_format"), "checksum")
 
 
-INTAKE_SQL = f"SELECT file_id, count(*) AS page_count, CASE WHEN bool_or(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 20 AND page_index % 10 = 0) THEN 'pdf_vector' ELSE 'pdf_scanned' END AS doc_format FROM {_PAGES} GROUP BY file_id"
+INTAKE_SQL = f"""SELECT file_id, count(*) AS page_count, CASE WHEN bool_or(i % greatest(n // {SAMPLED}, 1) = 0 AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 20) THEN 'pdf_vector' ELSE 'pdf_scanned' END AS doc_format,
+ sha256(string_agg(sha256(text), '' ORDER BY i)) AS checksum FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY page_index) - 1 AS i, count(*) OVER (PARTITION BY file_id) AS n FROM {_PAGES}) GROUP BY file_id"""
 
 
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,7 +168,7 @@ SELECT p_partkey, code, coalesce(material, finish, '') AS as_material, coalesce(
 
 
 def part_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored match: every benchmark text's first words against the titles of parts' kinds, by shared beginnings of words."""
+    """Scored match: every part's name and type against the names of all parts as titles, by shared beginnings of words."""
     toks = lambda c: F.filter(F.split(X.normalize(c), " "), lambda w: F.length(w) > 1)
     q = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), toks(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"))
     t = _t(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("title_id")).select("title_id", toks(F.concat(F.lit("the "), F.col("p_name"), F.lit("s"))).alias("tokens"))
