@@ -53,12 +53,17 @@ TOC_PAGES_SQL = f"""WITH p AS (SELECT file, page, bool_or({_division(1)} <> '')
 g AS (SELECT *, min(CASE WHEN NOT toc AND page > first THEN page END) OVER (PARTITION BY file) AS gap FROM f) SELECT file, page, hits, hits >= 3 AS confirmed FROM g WHERE page >= first AND (gap IS NULL OR page < gap)"""
 
 
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the pages that are found to be contents."""
+    return toc_lines(spark, sf_dir).join(toc_pages(spark, sf_dir).filter("confirmed").select("file", "page"), ["file", "page"], "left_semi")
+
+
 def toc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, sections = manuals.toc(toc_lines(spark, sf_dir).filter("page < 8"), ["file"], ["page", "line_ord"])
+    _, sections = manuals.toc(_contents(spark, sf_dir), ["file"], ["page", "line_ord"])
     return sections
 
 
-_CARRIED = f"""n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY page, line_ord) AS ord, nullif({_division(1)}, '') AS div, nullif({_division(2)}, '') AS div_title, upper(trim(line)) = 'NOT APPLICABLE' AS na FROM {_LINES} WHERE page < 8 AND trim(line) NOT IN ('', 'BID SET') AND NOT regexp_matches(trim(line), '^\\d{{1,2}}\\s+[A-Za-z]+\\s+\\d{{4}}$')),
+_CARRIED = f"""n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY page, line_ord) AS ord, nullif({_division(1)}, '') AS div, nullif({_division(2)}, '') AS div_title, upper(trim(line)) = 'NOT APPLICABLE' AS na FROM {_LINES} l WHERE EXISTS (SELECT 1 FROM ({TOC_PAGES_SQL}) t WHERE confirmed AND t.file = l.file AND t.page = l.page) AND trim(line) NOT IN ('', 'BID SET') AND NOT regexp_matches(trim(line), '^\\d{{1,2}}\\s+[A-Za-z]+\\s+\\d{{4}}$')),
 c AS (SELECT *, last_value(CASE WHEN div IS NOT NULL THEN ord END IGNORE NULLS) OVER (PARTITION BY file ORDER BY ord ROWS UNBOUNDED PRECEDING) AS d_ord, last_value(div IGNORE NULLS) OVER (PARTITION BY file ORDER BY ord ROWS UNBOUNDED PRECEDING) AS division,
  CASE WHEN div IS NULL AND NOT na THEN nullif(replace({_section(1)}, ' ', ''), '') END AS num FROM n)"""
 SECTIONS_SQL = f"""WITH {_CARRIED}, s AS (SELECT *, last_value(CASE WHEN num IS NOT NULL THEN ord END IGNORE NULLS) OVER (PARTITION BY file, d_ord ORDER BY ord ROWS UNBOUNDED PRECEDING) AS s_ord FROM c WHERE d_ord IS NOT NULL),
@@ -67,7 +72,7 @@ SELECT file, CAST(s_ord AS INTEGER) AS ord, division, max(num) AS section, trim(
 
 
 def toc_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    divisions, _ = manuals.toc(toc_lines(spark, sf_dir).filter("page < 8"), ["file"], ["page", "line_ord"])
+    divisions, _ = manuals.toc(_contents(spark, sf_dir), ["file"], ["page", "line_ord"])
     return divisions
 
 
