@@ -191,8 +191,11 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 READING_SQL = f"SELECT page, string_agg(trim(text), ' ' ORDER BY round_even(y0 / 8, 0), x0, pos) AS said FROM {_WORDS} WHERE trim(text) <> '' GROUP BY page"
 
-_NUMBER = "CASE p_partkey % 9 WHEN 0 THEN 'G' WHEN 1 THEN 'AD' WHEN 2 THEN 'FP' WHEN 3 THEN 'EMP' WHEN 4 THEN 'Y' WHEN 5 THEN 'Q' WHEN 6 THEN 'A' WHEN 7 THEN 'GENERAL' ELSE 'M' END || CAST(p_size AS STRING) || '.' || CAST(p_partkey % 7 AS STRING)"
-_TITLE = "CASE p_partkey % 6 WHEN 0 THEN 'Level ' || CAST(p_size AS STRING) || ' reflected ceiling plan' WHEN 1 THEN 'Door schedule & elevations' WHEN 2 THEN p_name WHEN 3 THEN 'ENLARGED FLOOR PLAN' WHEN 4 THEN 'Wall sections and details' ELSE '  ' END"
+# Sheets of every discipline and of none, titles of every drawing type and of none.
+_LETTERS = (*X.DISCIPLINES, "Q", "GENERAL")
+_TITLES = ("'Level ' || CAST(p_size AS STRING) || ' reflected ceiling plan'", "'Door schedule & elevations'", "p_name", "'ENLARGED FLOOR PLAN'", "'Wall sections and details'", "'  '", "'Demolition, North'", "'First floor plan'", "'South elevation'", "'Stair details'", "'Symbols'", "'List of Abbreviations'")
+_NUMBER = f"CASE p_partkey % {len(_LETTERS)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LETTERS)) + " END || CAST(p_size AS STRING) || '.' || CAST(p_partkey % 7 AS STRING)"
+_TITLE = f"CASE (p_partkey + p_size) % {len(_TITLES)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_TITLES)) + " END"
 
 
 def drawing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,9 +205,11 @@ def drawing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("sheet_number", "sheet_title", "p_partkey", X.discipline(F.col("sheet_number")).alias("discipline"), X.drawing_type(F.col("sheet_title")).alias("drawing_type"))
 
 
-INDEX_SQL = f"""WITH r AS (SELECT p_partkey, {_NUMBER} AS sheet_number, trim({_TITLE}) AS sheet_title FROM part), g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet_number ORDER BY p_partkey) AS i FROM r WHERE sheet_title <> '' AND regexp_full_match(sheet_number, '[A-Z]{{1,3}}\\d[A-Za-z0-9_.]*')) WHERE i = 1)
-SELECT sheet_number, sheet_title, p_partkey, coalesce(map {{'G': 'General', 'AD': 'Architectural', 'FP': 'Fire Protection', 'EMP': 'Electrical', 'Y': 'Security', 'A': 'Architectural', 'M': 'Mechanical'}}[regexp_extract(sheet_number, '^[A-Z]+')], 'Unknown') AS discipline,
- CASE WHEN contains(upper(sheet_title), 'REFLECTED CEILING PLAN') THEN 'Reflected Ceiling Plan' WHEN contains(upper(sheet_title), 'SCHEDULE') THEN 'Schedule' WHEN contains(upper(sheet_title), 'ENLARGED') THEN 'Enlarged Plan' WHEN contains(upper(sheet_title), 'SECTION') THEN 'Section' END AS drawing_type FROM g"""
+_BY_LETTER = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in X.DISCIPLINES.items()) + "}"
+_BY_WORD = "CASE " + " ".join(f"WHEN contains(upper(sheet_title), '{w}') THEN '{t}'" for w, t in X.DRAWING_TYPES) + " END"
+INDEX_SQL = f"""WITH r AS (SELECT p_partkey, {_NUMBER} AS sheet_number, trim({_TITLE}) AS sheet_title FROM part),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet_number ORDER BY p_partkey) AS i FROM r WHERE sheet_title <> '' AND regexp_full_match(sheet_number, '[A-Z]{{1,3}}\\d[A-Za-z0-9_.]*')) WHERE i = 1)
+SELECT sheet_number, sheet_title, p_partkey, coalesce({_BY_LETTER}[regexp_extract(sheet_number, '^[A-Z]+')], 'Unknown') AS discipline, {_BY_WORD} AS drawing_type FROM g"""
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
