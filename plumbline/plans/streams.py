@@ -1,4 +1,4 @@
-"""Streams over the driver's tables, written to files that a stream takes one by one.
+"""Streams over the driver's tables, written to files that a stream takes some at a time.
 
 Eight events in a row are the fragments of a response; an order is a job, its lines are shards.
 """
@@ -10,22 +10,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.tables import shared_folder
+from plumbline.sources.tables import shared_folder, stored
 from plumbline.streaming import fan_in
 from plumbline.streaming import responses as R
 
-FILES = 3
+BATCHES = 3
 
 
 def _streamed(df: DataFrame, by: str, last: DataFrame | None = None) -> tuple[DataFrame, str]:
-    """A stream of ``df`` in FILES batches dealt by a hash of ``by``, then ``last``; and the folder of its run."""
+    """A stream of ``df`` in some BATCHES batches dealt by a hash of ``by``, then ``last``; and the folder of its run."""
     spark = df.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    for i in range(FILES):
-        df.filter(F.pmod(F.xxhash64(by), F.lit(FILES)) == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    made = stored(df.repartition(spark.sparkContext.defaultParallelism), "fragments")
+    for i in range(BATCHES):
+        made.filter(F.pmod(F.xxhash64(by), F.lit(BATCHES)) == i).write.mode("append").parquet(f"{base}/in")
+    # A batch takes as many files as each of the writes has made.
+    files = len(spark.read.schema(df.schema).parquet(f"{base}/in").inputFiles())
     if last is not None:
         last.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), base
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-files // BATCHES))).parquet(f"{base}/in"), base
 
 
 _KIND = """CASE WHEN event_id % 8 = 7 AND CAST(floor(event_id / 8) AS BIGINT) % 5 <> 0 THEN 'completed' WHEN event_type = 'click' THEN 'tool_call_start' WHEN event_type = 'view' THEN 'text_delta'
@@ -61,15 +64,15 @@ FROM e LEFT JOIN k ON k.response_id = e.response_id GROUP BY e.response_id"""
 def fanned_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs whose shards have all finished, each with what its reduce merges; jobs with a failed shard wait."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    shards = line.groupBy(F.col("l_orderkey").alias("job"), F.col("l_linenumber").cast("long").alias("shard_index")).agg(F.max("l_returnflag").alias("flag"), F.sum("l_quantity").alias("quantity"))
+    shards = stored(line.groupBy(F.col("l_orderkey").alias("job"), F.col("l_linenumber").cast("long").alias("shard_index")).agg(F.max("l_returnflag").alias("flag"), F.sum("l_quantity").alias("quantity")), "shards")
     counts = shards.groupBy("job").agg(F.count("*").alias("shard_count"))
     status = F.when(F.col("flag") == "R", "dead").when((F.col("job") % 9 == 0) & (F.col("shard_index") == 1), "failed").otherwise("succeeded")
     reports = shards.join(counts, "job").select("job", "shard_index", "shard_count", status.alias("status"))
     stream, base = _streamed(reports, "shard_index")
-    alive = shards.filter("flag <> 'R'").select("job", "quantity")
+    alive = stored(shards.filter("flag <> 'R'").groupBy("job").agg(F.sum("quantity").alias("quantity")), "alive")
 
     def reduce(jobs: DataFrame) -> DataFrame:
-        return jobs.join(alive.groupBy("job").agg(F.sum("quantity").alias("quantity")), "job", "left")
+        return jobs.join(alive, "job", "left")
 
     sink = fan_in.into_batches(reduce, f"{base}/out")
     fan_in.released(stream).writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
