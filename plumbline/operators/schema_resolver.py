@@ -4,7 +4,7 @@
 rows form the band, the first other row starts the data.  A column's label is its lowest filled band cell; an
 ambiguous label is put behind the nearest group word above it, on its left.  Labels match synonyms exactly, or
 else by prefix, in the schema's order; the first column to claim a field wins.  Tables of all kinds are read in
-one pass: their rows are aggregated once, and a table's header band is small and matched as arrays.  Null cells count
+one pass: their rows are aggregated once, and a header band is small and matched as arrays, once for all its tables.  Null cells count
 as empty, and a table without header has no mapping.
 """
 
@@ -105,6 +105,15 @@ SECURITY = Schema(
     ("device_number", "device_type"), (), (), "instance", "device_number", "free", None, ("security", "device"),
 )
 SCHEMAS = (DOOR, FINISH, PLUMBING, WINDOW, LIGHTING, CAMERA, SECURITY)
+#: Cells, and rows of tables, that a task sorts at most, but for one larger table.
+CELLS, ROWS = 400_000, 60_000
+#: Different header bands that are broadcast at most.
+BANDS = 20_000
+
+
+def _dealt(df: DataFrame, most: int, keys: list[str]) -> DataFrame:
+    """``df`` dealt by ``keys`` over tasks of some ``most`` rows: their bytes are few, and by bytes Spark would leave too few tasks."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // most)), *keys)
 
 
 def _of_kind(values: dict[str, list[str]]) -> Column:
@@ -118,7 +127,7 @@ def table_rows(cells: DataFrame, by: list[str], schemas: tuple[Schema, ...] = SC
     ``kind`` names the schema that a table is read by.  This is the only pass over the cells, and their only shuffle.
     """
     cell = F.struct("col_ord", F.coalesce("text", F.lit("")).alias("text"), normalize(F.col("text")).alias("cell"))
-    rows = cells.groupBy(*by, "kind", "row_ord").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    rows = _dealt(cells, CELLS, [*by, "kind"]).groupBy(*by, "kind", "row_ord").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     words = _of_kind({s.name: list(s.words) for s in schemas})
     filled = F.filter("cells", lambda c: c["cell"] != "")
     known = F.filter(filled, lambda c: (F.length(c["cell"]) >= 2) & F.exists(words, lambda w: F.startswith(c["cell"], w) | F.startswith(w, c["cell"])))
@@ -133,11 +142,13 @@ def table_rows(cells: DataFrame, by: list[str], schemas: tuple[Schema, ...] = SC
 def resolved(rows: DataFrame, by: list[str], schemas: tuple[Schema, ...] = SCHEMAS) -> DataFrame:
     """by, kind, data_start, columns (col_ord, label, field), coverage of every table of ``table_rows``.
 
-    Only header rows above the data are gathered; a table's band is matched as arrays, without a join.
+    Only header rows above the data are gathered.  A band is matched as arrays, and once for all tables that have it.
     """
     band = (F.col("class") == "header") & (F.col("row_ord") < F.col("data_start"))
     placed = F.transform(F.filter("cells", lambda c: c["cell"] != ""), lambda c: F.struct("row_ord", c["col_ord"].alias("col_ord"), c["cell"].alias("cell")))
-    tables = rows.groupBy(*by, "kind").agg(F.first("data_start").alias("data_start"), F.flatten(F.collect_list(F.when(band, placed))).alias("_h"))
+    tables = rows.groupBy(*by, "kind").agg(F.first("data_start").alias("data_start"), F.array_sort(F.flatten(F.collect_list(F.when(band, placed)))).alias("_h"))
+    tables = stored(tables, "schedule-bands")
+    bands = tables.select("kind", "_h").distinct()
     groups, vague = _of_kind({s.name: list(s.groups) for s in schemas}), _of_kind({s.name: list(s.ambiguous) for s in schemas})
     synonyms = _of_kind({s.name: [x for _, f, x in s.ordered_synonyms()] for s in schemas})
     fields = _of_kind({s.name: [f for _, f, x in s.ordered_synonyms()] for s in schemas})
@@ -157,7 +168,7 @@ def resolved(rows: DataFrame, by: list[str], schemas: tuple[Schema, ...] = SCHEM
         found = F.filter(F.transform(F.arrays_zip(synonyms.alias("s"), fields.alias("f")), lambda z, i: F.struct((label != z["s"]).alias("o"), i.alias("i"), z["s"].alias("s"), z["f"].alias("f"))), lambda z: fits(z["s"]))
         return F.struct(x["col_ord"].alias("col_ord"), label.alias("label"), F.array_min(found)["f"].alias("field"))
 
-    columns = tables.withColumn("_c", F.transform(F.array_sort(F.array_distinct(F.transform("_h", lambda x: x["col_ord"]))), labelled))
+    columns = bands.withColumn("_c", F.transform(F.array_sort(F.array_distinct(F.transform("_h", lambda x: x["col_ord"]))), labelled))
     columns = columns.withColumn("_c", F.transform("_c", matched))
     # The first column to claim a field has it.
     taken = lambda x, i: F.exists(F.slice("_c", F.lit(1), i), lambda y: y["field"] == x["field"])
@@ -165,7 +176,9 @@ def resolved(rows: DataFrame, by: list[str], schemas: tuple[Schema, ...] = SCHEM
     columns = columns.withColumn("columns", claimed)
     core = _of_kind({s.name: list(s.core) for s in schemas})
     share = F.size(F.array_intersect(core, F.transform("columns", lambda x: x["field"]))) / F.size(core)
-    return columns.select(*by, "kind", "data_start", "columns", F.when(F.size(core) > 0, F.round(share, 3)).otherwise(0.0).alias("coverage"))
+    matched_ = stored(columns.select("kind", "_h", "columns", F.when(F.size(core) > 0, F.round(share, 3)).otherwise(0.0).alias("coverage")), "schedule-matched")
+    few = matched_.count() <= BANDS
+    return tables.join(F.broadcast(matched_) if few else matched_, ["kind", "_h"]).select(*by, "kind", "data_start", "columns", "coverage")
 
 
 def resolve(cells: DataFrame, schema: Schema, by: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -202,7 +215,7 @@ def table_items(cells: DataFrame, by: list[str], schemas: tuple[Schema, ...] = S
 
     Rows are made from cells once, for all schemas, and stored; the tables' columns come back to them as one row a table.
     """
-    rows = stored(table_rows(cells, by, schemas), "schedule-rows")
+    rows = _dealt(stored(table_rows(cells, by, schemas), "schedule-rows"), ROWS, [*by, "kind"])
     fit = resolved(rows, by, schemas).filter(F.col("coverage") >= least).select(*by, "kind", "columns")
     named = rows.select(*by, "kind", "row_ord", "cells", "data_start").join(fit, [*by, "kind"])
     text = F.transform("cells", lambda c: F.struct(c["col_ord"].alias("col_ord"), strip(c["text"]).alias("text")))

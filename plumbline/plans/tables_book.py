@@ -36,14 +36,15 @@ _VALUES = (_KEY, "CASE WHEN o_custkey % 3 = 0 THEN '' ELSE o_orderpriority END",
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """table_id, kind, row_ord, col_ord, text."""
-    o = _t(spark, sf_dir, "orders").withColumn("table_id", F.expr(_TABLE))
-    data = o.select("table_id", (F.col("o_orderkey") % 10 + 2).cast("int").alias("row_ord"), F.posexplode(F.array(*(F.expr(v) for v in _VALUES))).alias("col_ord", "text"))
-    made = o.select("table_id").distinct().withColumn("kind", F.element_at(F.array(*(F.lit(k) for k in _HEADERS)), (F.col("table_id") % 7 + 1).cast("int")))
+    # A table's number tells its kind, so no join is needed, and a query of one kind makes only that kind's cells.
+    kind = F.element_at(F.array(*(F.lit(k) for k in _HEADERS)), (F.col("table_id") % 7 + 1).cast("int"))
+    o = _t(spark, sf_dir, "orders").withColumn("table_id", F.expr(_TABLE)).withColumn("kind", kind)
+    data = o.select("table_id", "kind", (F.col("o_orderkey") % 10 + 2).cast("int").alias("row_ord"), F.posexplode(F.array(*(F.expr(v) for v in _VALUES))).alias("col_ord", "text"))
     header = F.element_at(F.create_map(*(x for k, (h, _) in _HEADERS.items() for x in (F.lit(k), F.array(*map(F.lit, h))))), F.col("kind"))
     title = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.when(i == 0, F.concat(F.upper("kind"), F.lit(" SCHEDULE"))).otherwise(""))
-    top = made.select("table_id", F.explode(F.array(F.struct(F.lit(0).alias("r"), title.alias("t")), F.struct(F.lit(1).alias("r"), header.alias("t")))).alias("x"))
-    heads = top.select("table_id", F.col("x.r").alias("row_ord"), F.posexplode("x.t").alias("col_ord", "text"))
-    return data.unionByName(heads).join(made, "table_id")
+    top = o.select("table_id").distinct().withColumn("kind", kind).select("table_id", "kind", F.explode(F.array(F.struct(F.lit(0).alias("r"), title.alias("t")), F.struct(F.lit(1).alias("r"), header.alias("t")))).alias("x"))
+    heads = top.select("table_id", "kind", F.col("x.r").alias("row_ord"), F.posexplode("x.t").alias("col_ord", "text"))
+    return data.unionByName(heads).select("table_id", "row_ord", "col_ord", "text", "kind")
 
 
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
