@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.text import is_door_mark, is_room, looks_like_mark, looks_like_tag, normalize, strip
 from plumbline.operators.ordered import first_wins
-from plumbline.sources.tables import stored
+from plumbline.sources.tables import dealt, stored
 
 
 @dataclass(frozen=True)
@@ -111,10 +111,6 @@ CELLS, ROWS = 400_000, 60_000
 BANDS = 20_000
 
 
-def _dealt(df: DataFrame, most: int, keys: list[str]) -> DataFrame:
-    """``df`` dealt by ``keys`` over tasks of some ``most`` rows: their bytes are few, and by bytes Spark would leave too few tasks."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // most)), *keys)
-
 
 def _of_kind(values: dict[str, list[str]]) -> Column:
     """The list of the row's kind of schedule, from one literal map."""
@@ -127,7 +123,7 @@ def table_rows(cells: DataFrame, by: list[str], schemas: tuple[Schema, ...] = SC
     ``kind`` names the schema that a table is read by.  This is the only pass over the cells, and their only shuffle.
     """
     cell = F.struct("col_ord", F.coalesce("text", F.lit("")).alias("text"), normalize(F.col("text")).alias("cell"))
-    rows = _dealt(cells, CELLS, [*by, "kind"]).groupBy(*by, "kind", "row_ord").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    rows = dealt(cells, CELLS, [*by, "kind"]).groupBy(*by, "kind", "row_ord").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     words = _of_kind({s.name: list(s.words) for s in schemas})
     filled = F.filter("cells", lambda c: c["cell"] != "")
     known = F.filter(filled, lambda c: (F.length(c["cell"]) >= 2) & F.exists(words, lambda w: F.startswith(c["cell"], w) | F.startswith(w, c["cell"])))
@@ -215,7 +211,7 @@ def table_items(cells: DataFrame, by: list[str], schemas: tuple[Schema, ...] = S
 
     Rows are made from cells once, for all schemas, and stored; the tables' columns come back to them as one row a table.
     """
-    rows = _dealt(stored(table_rows(cells, by, schemas), "schedule-rows"), ROWS, [*by, "kind"])
+    rows = dealt(stored(table_rows(cells, by, schemas), "schedule-rows"), ROWS, [*by, "kind"])
     fit = resolved(rows, by, schemas).filter(F.col("coverage") >= least).select(*by, "kind", "columns")
     named = rows.select(*by, "kind", "row_ord", "cells", "data_start").join(fit, [*by, "kind"])
     text = F.transform("cells", lambda c: F.struct(c["col_ord"].alias("col_ord"), strip(c["text"]).alias("text")))

@@ -43,3 +43,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, most: int, keys: list[str]) -> DataFrame:
+    """``df`` dealt by ``keys`` over tasks of some ``most`` rows: where bytes are few, Spark would leave too few tasks by bytes."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // most)), *keys)
