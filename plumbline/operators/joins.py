@@ -46,12 +46,17 @@ def best_title(queries: DataFrame, titles: DataFrame, threshold: float, least: i
     queries (query_id, tokens), titles (title_id, tokens).  Tokens that match share their first ``least`` letters,
     or are equal, so candidates come from an equi-join on those letters.
     """
-    stem = lambda t: F.substring(t, 1, least)
-    q = queries.select("query_id", F.explode(F.array_distinct(F.transform("tokens", stem))).alias("_stem"))
-    t = titles.select("title_id", F.explode(F.array_distinct(F.transform("tokens", stem))).alias("_stem"))
-    pairs = q.join(t, "_stem").select("query_id", "title_id").distinct()
-    scored = pairs.join(queries.withColumnRenamed("tokens", "_q"), "query_id").join(titles.withColumnRenamed("tokens", "_t"), "title_id").withColumn("score", token_score(F.col("_q"), F.col("_t"), least))
-    return first_wins(scored.filter(F.col("score") > threshold), ["query_id"], [F.desc("score"), F.asc("title_id")]).select("query_id", "title_id", "score")
+    # Equal token lists are scored once: many rows may share few of them, and of equal titles the first is best.
+    asked = queries.select(F.col("tokens").alias("_q")).filter(F.size("_q") > 0).distinct()
+    named = titles.filter(F.size("tokens") > 0).groupBy(F.col("tokens").alias("_t")).agg(F.min("title_id").alias("title_id"))
+    stems = lambda t: F.explode(F.array_distinct(F.transform(t, lambda x: F.substring(x, 1, least)))).alias("_stem")
+    q = asked.select("_q", stems("_q"))
+    t = named.select("_t", "title_id", stems("_t"))
+    # A pair with several stems in common is scored for each: no pair is gathered before only the best are left.
+    scored = q.join(t, "_stem").select("_q", "title_id", token_score(F.col("_q"), F.col("_t"), least).alias("score")).filter(F.col("score") > threshold)
+    found = first_wins(scored, ["_q"], [F.desc("score"), F.asc("title_id")])
+    every = queries.join(found, queries["tokens"] == found["_q"]).select("query_id", "title_id", "score")
+    return first_wins(every, ["query_id"], [F.desc("score"), F.asc("title_id")])
 
 
 def flip(items: DataFrame, counts: DataFrame) -> DataFrame:
