@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import transcripts as T
-from plumbline.plans.transcripts import BM25_SQL, scores
+from plumbline.plans.transcripts import BM25_SQL, scored
 
 _BLOCK = {
     "conv_id": "user_id", "turn": "CAST(floor(event_id / 3) AS BIGINT)", "block_ord": "event_id % 3", "role": "CASE WHEN event_type IN ('view', 'error') THEN 'user' ELSE 'assistant' END",
@@ -132,7 +132,8 @@ def pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven documents for each benchmark text: two pinned ones first, whatever they score, then the best."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
     wanted = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.explode(F.array(F.col("item_id") * 3, F.col("item_id") * 3 + 1)).alias("doc_id"))
-    out = T.pinned_top(scores(spark, sf_dir), wanted.join(docs, "doc_id", "left_semi"), ["item_id"], "doc_id", 7)
+    wanted = wanted.join(docs, "doc_id", "left_semi")
+    out = T.pinned_top(scored(spark, sf_dir, 7, wanted), wanted, ["item_id"], "doc_id", 7)
     return out.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import normalize
-from plumbline.operators import joins, ordered
+from plumbline.operators import joins, ordered, retrieval
 from plumbline.sources.tables import stored
 
 K1, B = 1.5, 0.75
-#: Shares into which the documents of a term are dealt.
-SALTS = 8
 #: Query terms that are broadcast at most.
 MOST_TERMS = 500_000
 
@@ -89,11 +87,12 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATUS_SQL = "SELECT event_type, count(*) AS n, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(DISTINCT user_id) AS users FROM events GROUP BY event_type"
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, doc_id, score of documents with a word of a benchmark text, by Okapi BM25 (k1 = 1.5, b = 0.75); not scores of zero or less.
+def scored(spark: SparkSession, sf_dir: str, k: int, wanted: DataFrame | None = None) -> DataFrame:
+    """item_id, doc_id, score of each benchmark text's ``k`` best documents, by Okapi BM25 (k1 = 1.5, b = 0.75), and of all ``wanted`` (item_id, doc_id); not scores of zero or less.
 
-    Every query token counts, as often as it occurs.  Documents are read and split once: the terms that queries have are
-    written with their counts and the document's length, and an empty term stands for the document itself.
+    Every query token counts, as often as it occurs; among equal scores the least doc_id is best.  Documents are read and
+    split once: the terms that queries have are written with their counts and the document's length, and an empty term
+    stands for the document itself.
     """
     split = lambda c: F.filter(F.split(normalize(F.col(c)), " "), lambda w: w != "")
     asked_of = _t(spark, sf_dir, "benchmark").select("item_id", F.explode(split("text")).alias("term"))
@@ -108,16 +107,13 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     tf = counted.filter("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # total is one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    # A frequent term's documents and queries meet in SALTS tasks: documents are dealt, queries copied.
-    weights = tf.join(df, "term").select("term", "doc_id", weight.alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
-    dealt = query.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return dealt.join(weights, ["term", "salt"]).groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("times") * F.col("w")), 9).alias("score")).filter("score > 0")
+    asked_for = stored(query.join(df, "term").select("item_id", "term", (F.col("times") * idf).alias("idf"), "mean"), "bm25-query")
+    return retrieval.best(asked_for, tf, k, K1, B, wanted)
 
 
 def bm25(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The k best documents for each benchmark text."""
-    return ordered.top(scores(spark, sf_dir), ["item_id"], [F.desc("score"), F.asc("doc_id")], k).select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    return scored(spark, sf_dir, k).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 BM25_SQL = f"""WITH norm AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents), tok AS (SELECT doc_id, unnest(w) AS term FROM norm),
