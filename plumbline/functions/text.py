@@ -30,9 +30,10 @@ def occurrences(text: Column, token: str) -> Column:
 
 def anchor_hits(text: Column, tokens: tuple[str, ...] = ANCHORS) -> Column:
     """Map of the tokens that occur in the upper-case text to their counts."""
-    upper = F.upper(text)
-    entries = F.array(*(F.struct(F.lit(t), occurrences(upper, t)) for t in tokens))
-    return F.map_filter(F.map_from_entries(entries), lambda k, v: v > 0)
+    # The upper-case text is bound once, and only tokens that occur are counted.
+    found = lambda u: F.array_compact(F.array(*(F.when(F.contains(u, F.lit(t)), F.struct(F.lit(t).alias("k"), occurrences(u, t).alias("v"))) for t in tokens)))
+    hits = F.get(F.transform(F.array(F.upper(text)), lambda u: F.map_from_entries(found(u))), 0)
+    return F.when(text.isNotNull(), hits)
 
 
 def size_class(width: Column, height: Column) -> Column:
@@ -42,8 +43,8 @@ def size_class(width: Column, height: Column) -> Column:
 
 
 def short_tokens(text: Column) -> Column:
-    """Words of one to four capitals."""
-    return F.size(F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[A-Z]{1,4}$")))
+    """Words of one to four capitals, counted without splitting the text into words."""
+    return F.regexp_count(text, F.lit(r"(?:^|[^\p{L}\p{N}_])[A-Z]{1,4}(?![\p{L}\p{N}_])"))
 
 
 def has_all(text: Column, signature: Column) -> Column:
