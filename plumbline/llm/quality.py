@@ -122,9 +122,17 @@ def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndar
 
 def select(rows: np.ndarray, hashes: np.ndarray, grades: np.ndarray, least_z: float) -> np.ndarray:
     """Hashes whose share of texts differs between toxic and other texts, or between poor and good ones."""
-    own, at = np.unique(hashes, return_inverse=True)
+    # Hash and grade are sorted together, in place: the place of each hash would take several times the driver's memory.
+    key = hashes.astype(np.uint64)
+    key <<= np.uint64(8)
+    key |= grades.astype(np.uint8)[rows]
+    key.sort()
+    own, grade = (key >> np.uint64(8)).astype(np.uint32), key.astype(np.uint8)
+    del key
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(own), 1), bool), own[1:] != own[:-1]]))
+    own = own[first]
     n = np.bincount(grades, minlength=GRADES).astype(float)
-    seen = np.stack([np.bincount(at[grades[rows] == g], minlength=len(own)) for g in range(GRADES)], axis=1).astype(float)
+    seen = np.stack([np.add.reduceat(grade == g, first, dtype=np.int64) if len(first) else np.zeros(0) for g in range(GRADES)], axis=1).astype(float)
 
     def z(a: np.ndarray, of_a: float, b: np.ndarray, of_b: float) -> np.ndarray:
         if not of_a or not of_b:
@@ -137,6 +145,17 @@ def select(rows: np.ndarray, hashes: np.ndarray, grades: np.ndarray, least_z: fl
     return own[best >= least_z]
 
 
+def found(own: np.ndarray, rows: np.ndarray, hashes: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of those of ``hashes`` that are in ``own`` (ascending), and their places there; some at a time."""
+    kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for k in range(0, len(hashes) if len(own) else 0, step):
+        some = hashes[k : k + step]
+        at = np.minimum(np.searchsorted(own, some), len(own) - 1)
+        hit = own[at] == some
+        kept.append((rows[k : k + step][hit].astype(np.int64), at[hit]))
+    return np.concatenate([r for r, _ in kept]), np.concatenate([a for _, a in kept])
+
+
 def fit_arrays(rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, grades: np.ndarray, least_z: float = 4.5, rounds: int = 400, rate: float = 0.1, decay: float = 3e-4) -> Model:
     """Maximum likelihood with Adam over all given texts; rare grades weigh more, by the root of their rarity."""
     shares = np.bincount(grades, minlength=GRADES)
@@ -145,9 +164,7 @@ def fit_arrays(rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, grades:
     if (shares > 0).sum() < 2:
         return Model(np.zeros(0, np.uint32), np.zeros(DENSE), theta if len(grades) else np.array([-40.0, -39.0]))
     own = select(rows, hashes, grades, least_z)
-    at = np.minimum(np.searchsorted(own, hashes), max(len(own) - 1, 0))
-    hit = own[at] == hashes if len(own) else np.zeros(len(hashes), bool)
-    rows, at = rows[hit], at[hit]
+    rows, at = found(own, rows, hashes)
     v = np.zeros(len(own) + DENSE)
     steps = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
     weight = (len(grades) / np.maximum(shares, 1)) ** 0.5
@@ -179,7 +196,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     chosen = graded.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample_rows)
 
     def take(batches):
-        for batch in tokens.text_batches(batches):
+        for batch in tokens.text_batches(batches, 8 << 20):
             rows, hashes, dense = features(tokens.column(batch, "text"))
             counts = np.bincount(rows, minlength=batch.num_rows)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
@@ -191,7 +208,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     if not got.num_rows:
         return fit_arrays(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros((0, DENSE)), np.zeros(0, np.int64))
     lists = tokens.column(got, "hashes")
-    return fit_arrays(np.repeat(np.arange(got.num_rows), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten()).view(np.uint32), np.stack(got["dense"].to_pylist()), np.asarray(got["grade"]).astype(np.int64))
+    return fit_arrays(np.repeat(np.arange(got.num_rows, dtype=np.int32), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten()).view(np.uint32), np.stack(got["dense"].to_pylist()), np.asarray(got["grade"]).astype(np.int64))
 
 
 def score(documents: DataFrame, model: Model, into: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:
@@ -201,7 +218,7 @@ def score(documents: DataFrame, model: Model, into: tuple[str, str] = ("expected
         raise ValueError(f"{' and '.join(into)} are names of results")
 
     def run(batches):
-        for batch in tokens.text_batches(batches):
+        for batch in tokens.text_batches(batches, 8 << 20):
             p = model.grades(model.margin(*features(tokens.column(batch, "text"), model.features)))
             new = [pa.array(p @ np.arange(GRADES)), pa.array(p[:, -1])]
             yield pa.RecordBatch.from_arrays([tokens.column(batch, c) for c in names] + new, names=[*names, *into])
